@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import materialise
+from brindle.llm.common import materialise, ship
 
 CAPACITY = 2048
 END = 0
@@ -93,6 +93,7 @@ def encoder(path: str) -> Encoder:
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32. Null text is an empty text (one piece: the end id)."""
+    ship(docs.sparkSession)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = encoder(tokenizer)

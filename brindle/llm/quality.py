@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brindle.llm.common import lookup_join, materialise
+from brindle.llm.common import lookup_join, materialise, ship
 
 MIN_WORDS = 50
 #: Shrunk failure rate of a host, by rule, over which all its documents are rejected.
@@ -93,6 +93,7 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[
     count and each get the same verdict; an empty table gives an empty result; other columns
     pass through untouched (names that start with two underscores are this operator's own).
     """
+    ship(docs.sparkSession)
     keep = docs.columns if keep is None else keep
     d = docs.select(*[F.col(f"`{c}`") for c in keep], F.coalesce(F.concat(F.lit("h"), F.col(host)), F.lit("")).alias("__host"), _metrics(F.col(text)).alias("__m"))
     fails = rules("__m")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import packing, quality
+from brindle.llm import ngram_join, packing, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_quality_rules(spark, sf_dir):
     return quality.assess(_table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard_join(spark, sf_dir):
+    return ngram_join.link(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
 def op8_best_fit_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
