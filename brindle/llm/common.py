@@ -47,12 +47,18 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def scratch_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder; release() deletes what is there."""
+    path = f"{scratch_root(spark)}/brindle/{tag}-{uuid.uuid4().hex}"
+    _left_over.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: a short lineage that outlives executors."""
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/brindle/{tag}-{uuid.uuid4().hex}"
+    path = scratch_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    _left_over.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

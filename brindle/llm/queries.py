@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import ngram_join, packing, quality
+from brindle.llm import ngram_join, packing, quality, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op1_quality_rules(spark, sf_dir):
     return quality.assess(_table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark, sf_dir):
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+def op5_url_filters(spark, sf_dir):
+    return urlfilter.apply(_table(spark, sf_dir, "pages"))
+
+
 def op4_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.link(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
