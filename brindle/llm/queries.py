@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from brindle.llm import ngram_join, packing, quality, urlfilter, warc
+from brindle.llm import decontaminate, line_dedup, ngram_join, packing, quality, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +36,19 @@ def op4_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.link(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op7_line_dedup(spark, sf_dir):
+    out = line_dedup.remove(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
+
+
 def op8_best_fit_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op9_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
