@@ -121,6 +121,16 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], we
     return left.join(F.broadcast(r), m, "left").select(*left.columns, *[F.col("__v")[t].alias(t) for t in take])
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words [^\\x20\\x09-\\x0D]+ of UTF-8 bytes; bytes.split() breaks at just these six characters."""
-    return text.split()
+def let(value: Column, f) -> Column:
+    """f(value) with value evaluated once, also where f uses it in lambdas."""
+    return F.transform(F.array(value), f)[0]
+
+
+def one_line(text: Column) -> Column:
+    """The text with each run of white space as one space, and none at its ends."""
+    flat = F.translate(text, "\t\n\x0b\f\r", "     ")
+    return F.trim(F.regexp_replace(flat, " {2,}", " "))
+
+
+#: Punctuation at a word's start or end; the search looks only at punctuation characters.
+OUTER = r"[\p{P}\p{S}]+(?:(?!\S)|(?<=(?:^|\s)[\p{P}\p{S}]{1,8}))"

@@ -13,9 +13,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import BROADCAST_ROWS, lookup_join, materialise
+from brindle.llm.common import BROADCAST_ROWS, OUTER, let, lookup_join, materialise, one_line
 
-WIDTH = 8
+WIDTH = 8  # windows() hashes 2, 4 and 8 tokens
 #: Words that are not slots, at least, in a window; fewer say too little.
 LITERALS = 5
 #: Units of measure that become a slot after a number.
@@ -27,30 +27,40 @@ MOST_WINDOWS = 500_000
 NUM, NAME, UNIT = "\x01", "\x02", "\x03"
 
 
-def canonical(text):
-    """The text with its words replaced by template tokens, in one line, one space between words."""
-    flat = F.trim(F.regexp_replace(F.translate(text, NUM + NAME + UNIT, "   "), r"\s+", " "))
+def plain(text):
+    """The text in one line, one space between words, without the slot characters."""
+    return one_line(F.translate(text, NUM + NAME + UNIT, "   "))
+
+
+def canonical(flat):
+    """A plain() text with its words replaced by template tokens; word for word."""
     # a name: a capital letter after a word that does not end a sentence
-    named = F.regexp_replace(flat, r"(?<=[^\s.!?:…]\s)[\p{P}\p{S}]*\p{Lu}[^\s]*", NAME)
-    numbers = F.regexp_replace(named, r"(?<=^|\s)[\p{P}\p{S}]*\p{Nd}[\p{Nd}.,:/%-]*(?=\s|$)", NUM)
-    units = F.regexp_replace(numbers, rf"(?i)(?<={NUM}\s)(?:{'|'.join(UNITS)})[.,;:!?]*(?=\s|$)", UNIT)
-    return F.lower(F.regexp_replace(units, r"(?<=^|\s)[\p{P}\p{S}]+(?=[\p{L}\p{N}])|(?<=[\p{L}\p{N}])[\p{P}\p{S}]+(?=\s|$)", ""))
+    named = F.regexp_replace(flat, r"\p{Lu}(?<=[^\s.!?:…] [\p{P}\p{S}]{0,2}\p{Lu})\S*", NAME)
+    numbers = F.regexp_replace(named, r"\p{Nd}(?<=(?:^| )[\p{P}\p{S}]{0,2}\p{Nd})[\p{Nd}.,:/%-]*(?!\S)", NUM)
+    units = let(numbers, lambda n: F.when(n.contains(NUM), F.regexp_replace(n, rf"(?i)(?<={NUM} )(?:{'|'.join(UNITS)})[.,;:!?]*(?!\S)", UNIT)).otherwise(n))
+    return F.lower(F.regexp_replace(units, OUTER, ""))
 
 
 def windows(df: DataFrame) -> DataFrame:
-    """The other columns, pos (from 0), w (hash) and __raw (the words as they stand) for each window of df.text.
+    """The other columns, pos (from 0), w (hash), __t (tokens) and __raw (words as they stand) for each window of df.text.
 
     Documents shorter than WIDTH words are one window padded by nulls. Null texts have none.
     """
-    raw = F.split(F.trim(F.regexp_replace(F.translate("text", NUM + NAME + UNIT, "   "), r"\s+", " ")), " ")
     keep = [c for c in df.columns if c != "text"]
-    d = df.where(F.length(F.trim("text")) > 0).select(*keep, F.split(canonical(F.col("text")), " ").alias("__t"), raw.alias("__raw"))
-    d = d.withColumn("__h", F.transform("__t", lambda t: F.xxhash64(t)))
-    at = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.size("__h") - WIDTH, F.lit(0))),
-        lambda i: F.xxhash64(*[F.get("__h", i + j) for j in range(WIDTH)]),
-    )
-    return d.select(*keep, "__t", "__raw", F.posexplode(at).alias("pos", "w"))
+
+    def pairs(a, gap: int, n):
+        return F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.get(a, i), F.get(a, i + gap)))
+
+    def hashes(t):  # of 2, then 4, then 8 tokens
+        n = F.greatest(F.size(t) - WIDTH, F.lit(0))
+        return let(pairs(t, 1, n + 6), lambda two: let(pairs(two, 2, n + 4), lambda four: pairs(four, 4, n)))
+
+    def both(flat):
+        return let(F.split(canonical(flat), " "), lambda t: F.struct(t.alias("t"), F.split(flat, " ").alias("raw"), hashes(t).alias("w")))
+
+    # a generator's output is computed once, whatever reads it
+    d = df.select(*keep, F.inline_outer(F.when(F.length(F.trim("text")) > 0, F.array(let(plain(F.col("text")), both)))).alias("__t", "__raw", "__w"))
+    return d.select(*keep, "__t", "__raw", F.posexplode_outer("__w").alias("pos", "w")).where("w is not null")
 
 
 def _slots(tokens, words, pos):
