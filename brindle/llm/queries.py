@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontaminate, licenses, line_dedup, ngram_join, packing, quality, urlfilter, warc
+from brindle.llm import decontaminate, html_text, langid, licenses, line_dedup, ngram_join, packing, quality, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,16 @@ def op1_quality_rules(spark, sf_dir):
     return quality.assess(_table(spark, sf_dir, "documents"))
 
 
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op2_language_id(spark, sf_dir):
+    return langid.identify(_table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op3_warc(spark, sf_dir):
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
@@ -36,6 +46,10 @@ def op4_ngram_jaccard_join(spark, sf_dir):
     return ngram_join.link(_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op6_html_extraction(spark, sf_dir):
+    return html_text.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op7_line_dedup(spark, sf_dir):
     out = line_dedup.remove(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "text", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
