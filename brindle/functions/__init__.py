@@ -1 +1,25 @@
+"""Column helpers for names that Spark itself does not have."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def truncate(c: Column, digits: int = 0) -> Column:
+    """Toward zero, to so many decimal digits (negative: tens, hundreds)."""
+    p = 10.0**digits
+    return F.signum(c) * F.floor(F.abs(c) * p) / p
+
+
+def isinf(c: Column) -> Column:
+    return F.abs(c) == float("inf")
+
+
+def array_reverse(c: Column) -> Column:
+    return F.reverse(c)
+
+
+def avg_distinct(c: Column) -> Column:
+    """Mean of the distinct values: both parts are one distinct aggregation."""
+    return F.sum_distinct(c) / F.count_distinct(c)

@@ -1 +1,55 @@
+"""Operators that Spark lacks, composed of DataFrame operations."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def asof_join(left: DataFrame, right: DataFrame, key: str, left_on: str, right_on: str, take: list[str], tie: list[str] | None = None) -> DataFrame:
+    """For each left row the latest right row of its key with right_on <= left_on (null if there is none).
+
+    Both sides are stacked and the last right row is carried forward within the key: one shuffle,
+    no pairs. Right rows at the same time count as earlier than the left row; among themselves
+    they are ordered by `tie`.
+    """
+    tie = tie or []
+    payload = F.struct(F.col(right_on).alias("__ro"), *take)
+    r = right.select(F.col(key).alias("__k"), F.col(right_on).alias("__t"), F.struct(*tie).alias("__tie") if tie else F.lit(0).alias("__tie"), payload.alias("__r"), F.lit(0).alias("__side"))
+    lrow = F.struct(*left.columns)
+    none = F.lit(None)
+    a = r.withColumn("__l", none.cast(left.select(lrow.alias("x")).schema["x"].dataType))
+    b = left.select(F.col(key).alias("__k"), F.col(left_on).alias("__t"), none.cast(r.schema["__tie"].dataType).alias("__tie"), none.cast(r.schema["__r"].dataType).alias("__r"), F.lit(1).alias("__side"), lrow.alias("__l"))
+    w = Window.partitionBy("__k").orderBy("__t", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
+    out = a.unionByName(b).withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")
+    return out.select("__l.*", *[F.col("__r")[c].alias(c) for c in take])
+
+
+def range_join(points: DataFrame, spans: DataFrame, at: str, start: str, end: str, width: float) -> DataFrame:
+    """points.at between spans.start and spans.end (both inclusive), by an equi-join on bins of `width`.
+
+    A span is copied once per bin that it touches, so choose the width near the usual length.
+    """
+    p = points.withColumn("__bin", F.floor(F.col(at) / width))
+    s = spans.withColumn("__bin", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(F.col(end) / width))))
+    return p.join(s, "__bin").where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end))).drop("__bin")
+
+
+def groups_window(df: DataFrame, partition: list[str], order: str, before: int, after: int, aggregates: dict) -> DataFrame:
+    """GROUPS frames, which Spark lacks: a dense rank, then RANGE over it. aggregates: name -> column."""
+    d = df.withColumn("__g", F.dense_rank().over(Window.partitionBy(*partition).orderBy(order)))
+    w = Window.partitionBy(*partition).orderBy("__g").rangeBetween(-before, after)
+    return d.withColumns({k: c.over(w) for k, c in aggregates.items()}).drop("__g")
+
+
+def exact_freq_items(df: DataFrame, col: str, support: float) -> DataFrame:
+    """item, n for the values that make up at least `support` of all rows."""
+    n = df.groupBy(F.col(col).alias("item")).agg(F.count("*").alias("n"))
+    total = df.agg(F.count("*").alias("__all"))
+    return n.crossJoin(F.broadcast(total)).where(F.col("n") >= support * F.col("__all")).drop("__all")  # one row
+
+
+def salted_sum(df: DataFrame, keys: list[str], value: str, salts: int = 32) -> DataFrame:
+    """A sum by keys in two steps, for keys that hold a large share of the rows and functions without partial aggregation."""
+    part = df.withColumn("__s", F.pmod(F.monotonically_increasing_id(), F.lit(salts))).groupBy(*keys, "__s").agg(F.sum(value).alias("__v"))
+    return part.groupBy(*keys).agg(F.sum("__v").alias(f"sum_{value}"))

@@ -3,10 +3,26 @@
 from __future__ import annotations
 
 import importlib
+import re
 
-MODULES = ("tpch",)
+from brindle import registry
+from brindle.tables import NAMES, register_views
+
+MODULES = ("tpch", "relational", "joins", "aggregates", "windows", "functions_scalar", "functions_nested", "storage", "events")
 
 
 def load_all() -> None:
     for m in MODULES:
         importlib.import_module(f"brindle.plans.{m}")
+
+
+def run_sql(spark, sf_dir: str, text: str, args=None):
+    """SQL text over the tables it names; args are typed parameters, by name or by position."""
+    used = [n for n in NAMES if re.search(rf"\b{n}\b", text)]
+    register_views(spark, sf_dir, used)
+    return spark.sql(text, args=args) if args else spark.sql(text)
+
+
+def both(name: str, text: str, tags: str = "", oracle: str | None = None) -> None:
+    """A query given as SQL; the oracle is the same text unless its dialect differs."""
+    registry.query(name, oracle or text, tags)(lambda spark, sf_dir: run_sql(spark, sf_dir, text))
