@@ -109,9 +109,11 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> Data
                     size = first if k == 0 else capacity
                     rows.append((doc_id, k, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
                     at += size
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    # ids travel as text: pandas would turn a column with nulls into floats
+    out = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text").mapInPandas(cut, "doc_id string, piece int, start long, length long, ids_crc32 long")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -231,8 +233,9 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame
                     s = table[int(lengths[at[0]])]
                     i = np.searchsorted(s[:, 0], ranks[at], side="right") - 1
                     bin_[at], off[at] = s[i, 1] + ranks[at] - s[i, 0], s[i, 2]
-            yield pdf[["doc_id", "piece", "start", "length", "ids_crc32"]].astype({"doc_id": "Int64"}).assign(sequence_id=bin_, offset=off)
+            yield pdf[["doc_id", "piece", "start", "length", "ids_crc32"]].assign(sequence_id=bin_, offset=off)
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInPandas(
-        place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    out = ranked.select(F.col("doc_id").cast("string").alias("doc_id"), "piece", "start", "length", "ids_crc32", "rank").mapInPandas(
+        place, "doc_id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))

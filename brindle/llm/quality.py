@@ -2,7 +2,7 @@
 
 Every document is judged by its own rules; the failures of each rule are then counted by host,
 each host's rate is shrunk with a beta prior fitted to all hosts (method of moments), and a host
-whose shrunk rate is over a rule's limit rejects all its documents.
+whose posterior is surely over a rule's limit rejects all its documents.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 from brindle.llm.common import lookup_join, materialise, ship
 
 MIN_WORDS = 50
-#: Shrunk failure rate of a host, by rule, over which all its documents are rejected.
+#: A host whose shrunk failure rate of a rule is surely (one-sided 95 %) over this, and over the
+#: overall rate, is rejected with all its documents.
 HOST_LIMITS = {"short": 0.5, "repeat": 0.5, "symbols": 0.5, "dup_lines": 0.5}
+Z = 1.645
 _SPACE, _SYMBOLS = b" \t\n\x0b\x0c\r", b"#*$%&|<>"
 
 NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -68,7 +70,7 @@ def rules(m: str) -> dict[str, F.Column]:
 
 
 def host_verdicts(failures: DataFrame, host: str = "__host", limits: dict[str, float] = HOST_LIMITS) -> DataFrame:
-    """One row per host: n_docs, the shrunk rate of each rule, host_rejected. failures: host and one 0/1 column per rule."""
+    """One row per host: n_docs, the shrunk rate of each rule, __rejected. failures: host and one 0/1 column per rule."""
     per = materialise(failures.groupBy(host).agg(F.count("*").alias("n_docs"), *[F.sum(k).alias(k) for k in limits]), "hosts")
     moments = []
     for k in limits:
@@ -81,9 +83,11 @@ def host_verdicts(failures: DataFrame, host: str = "__host", limits: dict[str, f
         m, v = F.col(f"m_{k}"), F.col(f"v_{k}")
         # strength a + b of the beta prior; hosts that do not differ, or a single host: the strongest
         s = F.when(v > 0, F.least(F.greatest(m * (1 - m) / v - 1, F.lit(1.0)), F.lit(1e6))).otherwise(F.lit(1e6))
-        out = out.withColumn(f"rate_{k}", (F.col(k) + m * s) / (F.col("n_docs") + s))
-        bad = bad | (F.col(f"rate_{k}") > limit)
-    return out.select(host, "n_docs", *[f"rate_{k}" for k in limits], bad.alias("host_rejected"))
+        a, n = F.col(k) + m * s, F.col("n_docs") + s
+        out = out.withColumn(f"rate_{k}", a / n)
+        bound = F.col(f"rate_{k}") - Z * F.sqrt(a * (n - a) / (n * n * (n + 1)))
+        bad = bad | (bound > F.greatest(m, F.lit(limit)))
+    return out.select(host, "n_docs", *[f"rate_{k}" for k in limits], bad.alias("__rejected"))
 
 
 def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[str] | None = None) -> DataFrame:
@@ -103,15 +107,15 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source", keep: list[
 def with_verdicts(judged: DataFrame, failures: DataFrame, spread) -> DataFrame:
     hosts = host_verdicts(failures.select("__host", *[F.col(f"__f_{k}").cast("long").alias(k) for k in HOST_LIMITS]))
     hosts = hosts.withColumnRenamed("__host", "__vhost")
-    out = lookup_join(judged, hosts, [("__host", "__vhost")], "n_docs", spread, ["host_rejected"])
-    return out.withColumn("__kept", ~F.col("__base_failed") & ~F.coalesce("host_rejected", F.lit(False)))
+    out = lookup_join(judged, hosts, [("__host", "__vhost")], "n_docs", spread, ["__rejected"])
+    return out.withColumn("__kept", ~F.col("__base_failed") & ~F.coalesce("__rejected", F.lit(False)))
 
 
 def assess(docs: DataFrame) -> DataFrame:
     """doc_id, the metrics, base_failed, host_rejected, kept for every row of docs (doc_id, text, source)."""
     m = materialise(judge(docs, keep=["doc_id"]), "quality")  # narrow: no text
     out = with_verdicts(m, m, F.col("doc_id"))
-    return out.select("doc_id", "__m.*", F.col("__base_failed").alias("base_failed"), "host_rejected", F.col("__kept").alias("kept"))
+    return out.select("doc_id", "__m.*", F.col("__base_failed").alias("base_failed"), F.col("__rejected").alias("host_rejected"), F.col("__kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
