@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import decontaminate, html_text, langid, licenses, line_dedup, ngram_join, packing, quality, urlfilter, warc
+from brindle.llm import decontaminate, html_text, langid, licenses, line_dedup, ngram_join, oracles, packing, quality, urlfilter, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op3_warc(spark, sf_dir):
 
 
 def op5_url_filters(spark, sf_dir):
-    return urlfilter.apply(_table(spark, sf_dir, "pages"))
+    return urlfilter.apply(_table(spark, sf_dir, "pages")).withColumns({c: F.round(c, 9) for c in ("block_mean", "block_bound")})
 
 
 def op4_ngram_jaccard_join(spark, sf_dir):
@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": oracles.quality_sql(), "op5_url_filters": oracles.url_sql()}
