@@ -3,15 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 NAMES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 ).split()
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table; the scan is lazy, so filters and column choice reach Parquet."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One table; the scan is lazy, so filters and column choice reach Parquet.
+
+    The schema is read from the files once per path: later plans need no job for it.
+    """
+    path = f"{sf_dir}/{name}.parquet"
+    if path in _schemas:
+        return spark.read.schema(_schemas[path]).parquet(path)
+    df = spark.read.parquet(path)
+    _schemas[path] = df.schema
+    return df
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=NAMES) -> None:
