@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -59,7 +60,25 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._brindle_path = path
+    return out
+
+
+def discard(*made: DataFrame) -> None:
+    """Delete what materialise() wrote for these frames, and let Spark drop shuffles that nothing refers to any more."""
+    for df in made:
+        p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._brindle_path)
+        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        _left_over.remove((df.sparkSession, df._brindle_path))
+    if made:
+        sweep(made[0].sparkSession)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished plans now; it finds them by garbage collection."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def release(spark: SparkSession) -> None:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brindle.llm.common import lookup_join, materialise
 
 
-def components(edges: DataFrame, jumps: int = 3, tag: str = "cc") -> DataFrame:
+def components(edges: DataFrame, jumps: int = 1, tag: str = "cc") -> DataFrame:
     """(node, comp) for every node of edges (a, b longs); comp is one node of its component.
 
     Each round points every node at its smallest neighbour, follows the pointers `jumps` times

@@ -8,7 +8,7 @@ high, it lengthens its prefix, and its pairs must then share min(l) prefix shing
 
 Nothing is enumerated twice: equal sets are one class; stars around a pivot of each prefix
 bucket first connect what is alike; only pairs of different components are then joined, in
-blocks for large buckets. A parity sketch (each differing shingle flips one of 1024 bits) drops
+blocks for large buckets. A parity sketch (each differing shingle flips one of 256 bits) drops
 pairs that cannot qualify, without loss; the rest is verified on the whole sets.
 """
 
@@ -22,48 +22,86 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import BROADCAST_ROWS, hot_safe_join, lookup_join, materialise, ship
+from brindle.llm.common import BROADCAST_ROWS, discard, hot_safe_join, lookup_join, materialise, ship, sweep
 from brindle.llm.components import components
 
 #: Heavy hitters that move to the end of the order; a matter of speed, never of results.
 HOT_SHINGLES = 20_000
-BITS = 1024
+BITS = 256
 LONGEST = 4  # largest l
 BLOCK = 512  # larger prefix buckets are joined in blocks of about so many rows
-STARS = 3
-_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_words: dict[bytes, int] = {}
-
-
-def _hash(word: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+STARS = 2
+CROWD = 16  # buckets from this size on are first connected by stars
+# word hashes: polynomials in an odd base modulo 2**64, read off prefix sums, then mixed
+_BASE = 0x9E3779B97F4A7C15 | 1
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_PART = 1 << 20  # bytes hashed at once
+_table: dict[str, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x ^= x >> np.uint64(31)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(29)
+    return x
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word [^\\x20\\x09-\\x0D]+, A-Z taken as a-z."""
+    if not _table:
+        low = np.arange(256, dtype=np.uint64)
+        low[65:91] += np.uint64(32)
+        _table["byte"] = _mix((low + np.uint64(1)) * np.uint64(0x94D049BB133111EB))
+        space = np.zeros(256, bool)
+        space[[32, *range(9, 14)]] = True
+        _table["space"] = space
+        _table["up"], _table["down"] = _powers(_BASE, _PART + 1), _powers(_INVERSE, _PART + 1)
+    if len(data) > _PART:  # very long texts in parts that end between words
+        found, at = [], 0
+        while at < len(data):
+            end = at + _PART
+            if end < len(data):
+                while end > at and not _table["space"][data[end]]:
+                    end -= 1
+                if end == at:  # one word longer than a part
+                    end = at + _PART
+                    while end < len(data) and not _table["space"][data[end]]:
+                        end += 1
+                    long = np.uint64(int.from_bytes(hashlib.blake2b(data[at:end].lower(), digest_size=8).digest(), "little"))
+                    found.append(np.asarray([long]))
+                    at = end
+                    continue
+            found.append(word_hashes(data[at:end]))
+            at = end
+        return np.concatenate(found)
+    b = np.frombuffer(data, np.uint8)
+    gap = np.ones(len(b) + 2, bool)
+    gap[1:-1] = _table["space"][b]
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    start, end = edge[0::2], edge[1::2]
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_table["byte"][b] * _table["up"][: len(b)], out=sums[1:])
+    return _mix((sums[end] - sums[start]) * _table["down"][start])
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
     """The distinct shingles of a whole text as sorted 64-bit hashes; with fewer than k words, one for all of them."""
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if isinstance(text, str) else []
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(words) < k:
-        return np.asarray([_hash(b" ".join(words))], np.uint64)
-    if len(_words) > 300_000:
-        _words.clear()
-    get = _words.get
-    h = [get(w) for w in words]
-    if None in h:
-        for i, x in enumerate(h):
-            if x is None:
-                h[i] = _words[words[i]] = _hash(words[i])
-    w = np.asarray(h, np.uint64)
+    w = word_hashes(text.encode("utf-8", "surrogatepass")) if isinstance(text, str) else np.empty(0, np.uint64)
+    if not len(w):
+        return w
+    k = min(k, len(w))
     n = len(w) - k + 1
-    x = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(k):
-            x = (x ^ w[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-            x ^= x >> np.uint64(29)
-        x *= np.uint64(0xBF58476D1CE4E5B9)
-        x ^= x >> np.uint64(32)
-    return np.unique(x)
+    x = np.full(n, k, np.uint64)
+    for i in range(k):
+        x = _mix((x ^ w[i : i + n]) * np.uint64(_BASE))
+    x.sort()
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
 def heavy(docs: DataFrame, k: int, size: int = HOT_SHINGLES) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +149,7 @@ def prefix(s: np.ndarray, hot: np.ndarray, counts: np.ndarray, num: int, den: in
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the number of shingles by cell: 16 longs."""
+    """Parity of the number of shingles by cell, as longs."""
     odd = (np.bincount((s >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
@@ -147,26 +185,30 @@ def _alike(x: str, y: str, num: int, den: int):
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets qualify. Only the texts of documents in a pair are read again."""
     pairs = materialise(pairs, "pairs")
+    sweep(docs.sparkSession)
     need = pairs.select(F.col("a").alias("nid")).union(pairs.select(F.col("b").alias("nid"))).distinct()
     need = materialise(need.join(nodes.select("nid", "rep", "key"), "nid").select("nid", "key", F.col("rep").alias("__rep")), "need")
     few = need.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    ids = need.select("__rep").distinct()
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    src = src.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("__rep")), "left_semi")
+    src = src.join(F.broadcast(need) if few else need, F.col("doc_id").eqNullSafe(F.col("__rep")))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [shingles(t, k) for t in pdf["text"].array]
-            yield pd.DataFrame({"key": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in found], "arr": [s.view(np.int64) for s in found]})
+            own = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == bytes(x) for s, x in zip(found, pdf["key"], strict=True)]
+            yield pd.DataFrame({"nid": pdf["nid"], "arr": [s.view(np.int64) for s in found]})[own]
 
-    arrays = src.select("text").mapInPandas(sets, "key binary, arr array<long>").dropDuplicates(["key"])
-    arrays = materialise(arrays.join(need.select("key", "nid"), "key").select("nid", "arr"), "sets")
+    # a repeated row makes a set twice, which only repeats a link
+    arrays = materialise(src.select("nid", "key", "text").mapInPandas(sets, "nid long, arr array<long>"), "sets")
+    sweep(docs.sparkSession)
     by_b = pairs.join(arrays.select(F.col("nid").alias("b"), F.col("arr").alias("y")), "b")
     w = pairs.groupBy("a").agg(F.count("*").alias("w"))
     right = arrays.join(w, arrays["nid"] == w["a"]).select("nid", F.col("arr").alias("x"), "w")
     full = hot_safe_join(by_b, right, [("a", "nid")], "w", F.col("b"), ["x"])
     both = F.size(F.array_intersect("x", "y"))
-    return materialise(full.where(both * (den + num) >= (F.size("x") + F.size("y")) * num).select("a", "b"), "links")
+    links = materialise(full.where(both * (den + num) >= (F.size("x") + F.size("y")) * num).select("a", "b"), "links")
+    discard(pairs, need, arrays)
+    return links
 
 
 def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -186,31 +228,39 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     stats = materialise(entries.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1"), "stats")
     many = hot_safe_join(entries, stats.withColumnRenamed("tok", "t2"), [("tok", "t2")], "c", F.col("nid"), ["c"]).where("c is not null")
     ent = materialise(many.join(nodes.select("nid", "n", "ell", "copies", "sk"), "nid"), "entries")
+    discard(stats)
 
     edges = label = None
-    left = ent.withColumn("comp", F.col("nid"))
+    left = crowd = materialise(ent.where(F.col("c") >= CROWD).withColumn("comp", F.col("nid")), "crowd")
     for r in range(STARS):
         order = F.struct((-F.col("copies") if r == 0 else F.xxhash64("nid", F.lit(r))).alias("o"), "nid", "n", "sk", "comp")
         pivots = left.groupBy("tok").agg(F.min(order).alias("p"), F.count("*").alias("pc")).withColumnRenamed("tok", "t2")
         star = hot_safe_join(left.select("tok", F.struct("nid", "n", "sk", "comp").alias("x")), materialise(pivots, "pivots"), [("tok", "t2")], "pc", F.col("x.nid"), ["p"])
         star = star.where((F.col("x.comp") != F.col("p.comp")) & _alike("x", "p", num, den))
         found = _verified(star.select(F.col("p.nid").alias("a"), F.col("x.nid").alias("b")).distinct(), nodes, docs, k, num, den)
-        got = not found.isEmpty()
-        if got:
-            edges = found if edges is None else edges.union(found)
-            label = components(edges)
-            edges = label.select(F.col("node").alias("a"), F.col("comp").alias("b"))  # a star for each component
-        left = _open(ent, label)
-        if not got:
+        if found.isEmpty():
             break
-    left = left.withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
+        edges = found if edges is None else edges.union(found)
+        label = components(edges)
+        edges = label.select(F.col("node").alias("a"), F.col("comp").alias("b"))  # a star for each component
+        left = _open(crowd, label)
+    left = _with_comp(ent, label).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("int"))
     x = left.select("tok", F.pmod(F.hash("nid"), F.col("blocks")).alias("blk"), F.struct("nid", "n", "sk", "comp", "ell").alias("x"))
     y = left.select("tok", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"), F.struct("nid", "n", "sk", "comp", "ell").alias("y"))
     pairs = x.join(y, ["tok", "blk"]).where((F.col("x.nid") < F.col("y.nid")) & (F.col("x.comp") != F.col("y.comp")) & _alike("x", "y", num, den))
     pairs = pairs.groupBy(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"), F.least("x.ell", "y.ell").alias("l")).agg(F.count("*").alias("m")).where("m >= l").select("a", "b")
-    found = _verified(pairs, nodes, docs, k, num, den)
-    if not found.isEmpty():
-        label = components(found if edges is None else edges.union(found))
+    pairs = materialise(pairs, "pairs")
+    discard(ent, crowd)
+    # one partner of each first: what that connects needs no more checks
+    first = pairs.groupBy("b").agg(F.min("a").alias("a"))
+    for some in (first, None):
+        if some is None:
+            some = _with_comp(pairs.withColumnRenamed("a", "nid"), label).withColumnsRenamed({"nid": "a", "comp": "ca"})
+            some = _with_comp(some.withColumnRenamed("b", "nid"), label).withColumnsRenamed({"nid": "b"}).where("ca != comp").select("a", "b")
+        found = _verified(some, nodes, docs, k, num, den)
+        if not found.isEmpty():
+            label = components(found if edges is None else edges.union(found))
+            edges = label.select(F.col("node").alias("a"), F.col("comp").alias("b"))
 
     classes = nodes.select("nid", "key", "rep", "copies")
     if label is not None:
@@ -225,14 +275,20 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("cid", "doc_id").alias("component_id"))
 
 
-def _open(ent: DataFrame, label: DataFrame | None) -> DataFrame:
-    """The entries of buckets that still hold more than one component, with comp."""
+def _with_comp(ent: DataFrame, label: DataFrame | None) -> DataFrame:
+    """ent with the component of each node, itself where it has none."""
+    ent = ent.drop("comp")
     if label is None:
         return ent.withColumn("comp", F.col("nid"))
-    left = ent.join(label, ent["nid"] == label["node"], "left").withColumn("comp", F.coalesce("comp", "nid")).drop("node")
-    left = materialise(left, "entries")
+    out = lookup_join(ent, label.withColumn("w", F.lit(1)), [("nid", "node")], "w", F.col("nid"), ["comp"])
+    return out.withColumn("comp", F.coalesce("comp", "nid"))
+
+
+def _open(ent: DataFrame, label: DataFrame) -> DataFrame:
+    """The entries of buckets that still hold more than one component."""
+    left = materialise(_with_comp(ent, label), "crowd")
     more = left.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("w")).where("lo < hi").select(F.col("tok").alias("t2"), "w", F.lit(True).alias("more"))
-    return materialise(hot_safe_join(left, materialise(more, "open"), [("tok", "t2")], "w", F.col("nid"), ["more"]).where("more").drop("more"), "entries")
+    return materialise(hot_safe_join(left, materialise(more, "open"), [("tok", "t2")], "w", F.col("nid"), ["more"]).where("more").drop("more"), "crowd")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
