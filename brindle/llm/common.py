@@ -75,6 +75,19 @@ def discard(*made: DataFrame) -> None:
         sweep(made[0].sparkSession)
 
 
+def paths(spark: SparkSession) -> set[str]:
+    """The scratch paths of this session that still stand."""
+    return {p for own, p in _left_over if own is spark}
+
+
+def delete_paths(spark: SparkSession, gone: list[str]) -> None:
+    for path in set(gone) & paths(spark):
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        _left_over.remove((spark, path))
+    sweep(spark)
+
+
 def sweep(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished plans now; it finds them by garbage collection."""
     gc.collect()
