@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
-from brindle.llm import decontaminate, line_dedup, ngram_join, packing, quality
+from brindle.llm import common, decontaminate, line_dedup, ngram_join, packing, quality
 from brindle.llm.common import materialise
 from brindle.llm.queries import tokenizer_path
 
 
+_scratch: list[str] = []
+
+
+def _tidy(stage, first: bool):
+    """Before a stage, delete the scratch tables of the one before it, whose output is written by then."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not first:
+            common.delete_paths(spark, _scratch)
+        _scratch.clear()
+        before = common.paths(spark)
+        out = stage(spark, docs, sf_dir)
+        _scratch.extend(common.paths(spark) - before)
+        return out
+
+    return run
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs)
 
@@ -36,6 +57,7 @@ STAGES = [
     ("benchmark_decontamination", benchmark_decontamination),
     ("best_fit_packing", best_fit_packing),
 ]
+STAGES = [(name, _tidy(stage, i == 0)) for i, (name, stage) in enumerate(STAGES)]
 
 #: Tokenisation has no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
