@@ -8,8 +8,9 @@ high, it lengthens its prefix, and its pairs must then share min(l) prefix shing
 
 Nothing is enumerated twice: equal sets are one class; stars around a pivot of each prefix
 bucket first connect what is alike; only pairs of different components are then joined, in
-blocks for large buckets. A parity sketch (each differing shingle flips one of 256 bits) drops
-pairs that cannot qualify, without loss; the rest is verified on the whole sets.
+blocks for large buckets. Parity sketches (each differing shingle flips one bit: first of 256,
+then of a number in proportion to the set) drop pairs that cannot qualify, without loss; the
+rest is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from brindle.llm.components import components
 #: Heavy hitters that move to the end of the order; a matter of speed, never of results.
 HOT_SHINGLES = 20_000
 BITS = 256
+FINE = 8  # bits of the fine sketch for each shingle that may differ
+FINEST = 1 << 15  # bits; beyond this a sketch is only coarser
 LONGEST = 4  # largest l
 BLOCK = 512  # larger prefix buckets are joined in blocks of about so many rows
 STARS = 2
@@ -154,8 +157,26 @@ def sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
+def fine_sketch(s: np.ndarray, num: int, den: int) -> bytes:
+    """As sketch(), of a power of two of bits that fits the number of shingles that may differ."""
+    may = 2 * len(s) * (den - num) // (den + num)
+    bits = min(FINEST, max(64, 1 << (FINE * may).bit_length()))
+    odd = (np.bincount(((s >> np.uint64(20)) % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
+    return np.packbits(odd).tobytes()
+
+
+def fine_off(x: bytes, y: bytes) -> int:
+    """The bits in which two fine sketches differ; the longer one is folded to the length of the other."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(p) > len(q):
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    while len(q) > len(p):
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
+
+
 def features(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, key (of the whole set; null if empty), ell, pre, sk for each row."""
+    """doc_id, n, key (of the whole set; null if empty), ell, pre, sk, fine for each row."""
     hot, counts = heavy(docs, k)
     given = docs.sparkSession.sparkContext.broadcast((hot, counts))
 
@@ -166,13 +187,13 @@ def features(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
             for doc_id, text in zip(pdf["doc_id"].array, pdf["text"].array, strict=True):
                 s = shingles(text, k)
                 if not len(s):
-                    rows.append((doc_id, 0, None, 0, None, None))
+                    rows.append((doc_id, 0, None, 0, None, None, None))
                     continue
                 ell, pre = prefix(s, hot, counts, num, den)
-                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), ell, pre.view(np.int64), sketch(s)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "key", "ell", "pre", "sk"]).astype({"doc_id": "Int64"})
+                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), ell, pre.view(np.int64), sketch(s), fine_sketch(s, num, den)))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "key", "ell", "pre", "sk", "fine"]).astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(make, "doc_id long, n long, key binary, ell int, pre array<long>, sk array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(make, "doc_id long, n long, key binary, ell int, pre array<long>, sk array<long>, fine binary")
 
 
 def _alike(x: str, y: str, num: int, den: int):
@@ -182,9 +203,27 @@ def _alike(x: str, y: str, num: int, den: int):
     return (n * den >= m * num) & (m * den >= n * num) & (off * (den + num) <= (n + m) * (den - num))
 
 
+def _sifted(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) without those that the fine sketches rule out."""
+    pairs = materialise(pairs, "pairs")
+    by_b = pairs.join(nodes.select(F.col("nid").alias("b"), F.struct("n", "fine").alias("y")), "b")
+    w = pairs.groupBy("a").agg(F.count("*").alias("w"))
+    right = nodes.join(w, nodes["nid"] == w["a"]).select("nid", F.struct("n", "fine").alias("x"), "w")
+    both = hot_safe_join(by_b, right, [("a", "nid")], "w", F.col("b"), ["x"])
+
+    def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            off = np.fromiter(map(fine_off, pdf["p"], pdf["q"]), np.int64, len(pdf))
+            yield pdf[["a", "b"]][off * (den + num) <= pdf["nm"].to_numpy() * (den - num)]
+
+    cols = both.select("a", "b", (F.col("x.n") + F.col("y.n")).alias("nm"), F.col("x.fine").alias("p"), F.col("y.fine").alias("q"))
+    out = materialise(cols.mapInPandas(sift, "a long, b long"), "pairs")
+    discard(pairs)
+    return out
+
+
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose whole sets qualify. Only the texts of documents in a pair are read again."""
-    pairs = materialise(pairs, "pairs")
     sweep(docs.sparkSession)
     need = pairs.select(F.col("a").alias("nid")).union(pairs.select(F.col("b").alias("nid"))).distinct()
     need = materialise(need.join(nodes.select("nid", "rep", "key"), "nid").select("nid", "key", F.col("rep").alias("__rep")), "need")
@@ -221,7 +260,7 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     """
     docs = docs.select("doc_id", "text")
     f = materialise(features(docs, k, num, den), "features")
-    first = {c: F.first(c).alias(c) for c in ("n", "ell", "pre", "sk")}
+    first = {c: F.first(c).alias(c) for c in ("n", "ell", "pre", "sk", "fine")}
     nodes = f.where("n > 0").groupBy("key").agg(*first.values(), F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     nodes = materialise(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     entries = nodes.select(F.explode("pre").alias("tok"), "nid")
@@ -237,7 +276,8 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
         pivots = left.groupBy("tok").agg(F.min(order).alias("p"), F.count("*").alias("pc")).withColumnRenamed("tok", "t2")
         star = hot_safe_join(left.select("tok", F.struct("nid", "n", "sk", "comp").alias("x")), materialise(pivots, "pivots"), [("tok", "t2")], "pc", F.col("x.nid"), ["p"])
         star = star.where((F.col("x.comp") != F.col("p.comp")) & _alike("x", "p", num, den))
-        found = _verified(star.select(F.col("p.nid").alias("a"), F.col("x.nid").alias("b")).distinct(), nodes, docs, k, num, den)
+        near = _sifted(star.select(F.col("p.nid").alias("a"), F.col("x.nid").alias("b")).distinct(), nodes, num, den)
+        found = _verified(near, nodes, docs, k, num, den)
         if found.isEmpty():
             break
         edges = found if edges is None else edges.union(found)
@@ -249,7 +289,7 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     y = left.select("tok", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("blk"), F.struct("nid", "n", "sk", "comp", "ell").alias("y"))
     pairs = x.join(y, ["tok", "blk"]).where((F.col("x.nid") < F.col("y.nid")) & (F.col("x.comp") != F.col("y.comp")) & _alike("x", "y", num, den))
     pairs = pairs.groupBy(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"), F.least("x.ell", "y.ell").alias("l")).agg(F.count("*").alias("m")).where("m >= l").select("a", "b")
-    pairs = materialise(pairs, "pairs")
+    pairs = _sifted(pairs, nodes, num, den)
     discard(ent, crowd)
     # one partner of each first: what that connects needs no more checks
     first = pairs.groupBy("b").agg(F.min("a").alias("a"))
@@ -257,7 +297,7 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
         if some is None:
             some = _with_comp(pairs.withColumnRenamed("a", "nid"), label).withColumnsRenamed({"nid": "a", "comp": "ca"})
             some = _with_comp(some.withColumnRenamed("b", "nid"), label).withColumnsRenamed({"nid": "b"}).where("ca != comp").select("a", "b")
-        found = _verified(some, nodes, docs, k, num, den)
+        found = _verified(materialise(some, "pairs"), nodes, docs, k, num, den)
         if not found.isEmpty():
             label = components(found if edges is None else edges.union(found))
             edges = label.select(F.col("node").alias("a"), F.col("comp").alias("b"))
