@@ -27,7 +27,7 @@ from brindle.llm.common import BROADCAST_ROWS, discard, hot_safe_join, lookup_jo
 from brindle.llm.components import components
 
 #: Heavy hitters that move to the end of the order; a matter of speed, never of results.
-HOT_SHINGLES = 20_000
+HOT_SHINGLES = 200_000
 BITS = 256
 FINE = 8  # bits of the fine sketch for each shingle that may differ
 FINEST = 1 << 15  # bits; beyond this a sketch is only coarser
@@ -108,7 +108,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
 
 
 def heavy(docs: DataFrame, k: int, size: int = HOT_SHINGLES) -> tuple[np.ndarray, np.ndarray]:
-    """About the `size` most frequent shingles over all documents, with counts (at most size pairs reach the driver)."""
+    """About the `size` most frequent shingles over all documents, with counts (at most size pairs, and their number by magnitude, reach the driver)."""
     ship(docs.sparkSession)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -125,7 +125,16 @@ def heavy(docs: DataFrame, k: int, size: int = HOT_SHINGLES) -> tuple[np.ndarray
             tok, cnt = both, sums
         yield pd.DataFrame({"t": tok.view(np.int64), "c": cnt})
 
-    top = docs.select("text").mapInPandas(count, "t long, c long").groupBy("t").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "t").limit(size).toPandas()
+    sums = docs.select("text").mapInPandas(count, "t long, c long").groupBy("t").agg(F.sum("c").alias("c"))
+    sums = materialise(sums.withColumn("mag", F.floor(F.log2("c") * 32)), "heavy")
+    # the lowest magnitude from which on there are at most `size`: no task sorts or gathers more
+    total, least = 0, None
+    for mag, n in sorted(map(tuple, sums.groupBy("mag").count().collect()), reverse=True):
+        if (total := total + n) > size:
+            break
+        least = mag
+    top = sums.where(F.col("mag") >= least if least is not None else F.lit(False)).select("t", "c").toPandas()
+    discard(sums)
     t = top["t"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(t)
     return t[order], top["c"].to_numpy(np.int64)[order]
