@@ -338,3 +338,13 @@ def test_license_scan(spark, odd_docs):
         assert name in found
     assert got[len(licenses.TEMPLATES) :] == [[], [], [], [], ["MIT"]]
     assert licenses.scan(odd_docs).count() == 11 and licenses.scan(odd_docs.limit(0)).count() == 0
+
+
+def test_fine_sketch_never_exceeds_the_difference():
+    rng = np.random.default_rng(5)
+    for n, m in ((3, 3), (40, 44), (900, 1000), (9000, 8200)):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: n - n // 10], rng.integers(0, 1 << 63, max(0, m - n + n // 10)).astype(np.uint64)]))
+        off = ngram_join.fine_off(ngram_join.fine_sketch(x, 90, 100), ngram_join.fine_sketch(y, 90, 100))
+        assert off <= len(np.setxor1d(x, y))
+        assert ngram_join.fine_off(ngram_join.fine_sketch(x, 90, 100), ngram_join.fine_sketch(x, 90, 100)) == 0
