@@ -1,10 +1,13 @@
-"""Line deduplication by content-defined chunks of lines, in DataFrame functions only.
-
-A document's lines are hashed; a rolling hash over WINDOW neighbouring line hashes marks the
-last line of a chunk, so boundaries depend on the lines around them and not on their position,
-and text that is inserted before a passage does not move the boundaries inside it. Chunks of
-several lines whose hash repeats in the corpus are grouped by their text itself (a comparison of
-bytes); all but the first (smallest doc_id, then position) are removed.
+"""Line deduplication by repeated runs of lines, in DataFrame functions only.
+
+Two kinds of runs are looked at. Chunks: a document's lines are hashed; a rolling hash over
+WINDOW neighbouring line hashes marks the last line of a chunk, so boundaries depend on the lines
+around them and not on their position; chunks of several lines count, however short. Passages:
+from each line on, and up to each line, the shortest run of whole lines with more than WORDS
+words. Whether a run is such a passage depends on its own lines only, and any run of more than
+WORDS words is the union of such passages in it, so every line of a run of that length which an
+earlier place also holds is found, one-line texts included. Runs that repeat are told apart by
+their SHA-256; all but the first (smallest doc_id, then position) are removed.
 """
 
 from __future__ import annotations
@@ -12,12 +15,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import BROADCAST_ROWS, hot_safe_join, lookup_join, materialise
+from brindle.llm.common import BROADCAST_ROWS, hot_safe_join, let, lookup_join, materialise
 
 WINDOW = 2
 #: One boundary for so many lines on average.
 DIVISOR = 2
 BASE = 31
+#: A passage has more words than this.
+WORDS = 50
+#: Passages of so few lines are found by plain comparisons, longer ones by a loop.
+SHORT = 4
 
 
 def _line_hashes(lines):
@@ -25,42 +32,84 @@ def _line_hashes(lines):
     return F.transform(lines, lambda x: F.conv(F.substring(F.md5(x), 1, 8), 16, 10).cast("long"))
 
 
-def chunks_of(text):
-    """array<struct<idx, first, last, body>> of a text's chunks; first and last are line numbers from 1."""
+def _n_words(line):
+    return F.size(F.array_remove(F.split(F.translate(line, "\t\x0b\f\r", "    "), " "), ""))
+
+
+def _span(first, last):
+    """Both line numbers in one long: sets of longs are hashed, sets of structs are compared pair by pair."""
+    return F.shiftleft(first.cast("long"), 32) + last
+
+
+def runs_of(text, key):
+    """array<struct<first, last, key>> of a text's chunks and passages; first and last are line numbers from 1, key(body) is made of the run's text."""
+
+    def cut(s):
+        body = lambda c: F.array_join(F.slice(s["l"], c["first"], c["last"] - c["first"] + 1), "\n")
+        spans = F.array_distinct(F.concat(_chunks(s["h"]), _passages(s["n"], True), let(F.reverse(s["n"]), lambda n: _passages(n, False))))
+        ends = F.transform(spans, lambda p: F.struct(F.shiftright(p, 32).cast("int").alias("first"), p.bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("last")))
+        return F.transform(ends, lambda c: F.struct(c["first"], c["last"], key(body(c)).alias("key")))
+
     lines = F.split(text, "\n")
-    return F.when(text.isNotNull() & text.contains("\n"), F.transform(F.array(F.struct(lines.alias("l"), _line_hashes(lines).alias("h"))), _cut)[0])
+    full = F.filter(F.transform(lines, lambda x, i: F.struct((i + 1).alias("i"), _n_words(x).alias("n"))), lambda x: x["n"] > 0)
+    return F.when(text.isNotNull(), F.transform(F.array(F.struct(lines.alias("l"), _line_hashes(lines).alias("h"), full.alias("n"))), cut)[0])
 
 
-def _cut(s):
-    n = F.size(s["l"])
-    at = lambda i: F.get(s["h"], i - 1)
+def _chunks(h):
+    """Spans of the chunks of several lines."""
+    n = F.size(h)
+    at = lambda i: F.get(h, i - 1)
     rolled = lambda i: sum((F.coalesce(at(i - j), F.lit(0)) * BASE**j for j in range(1, WINDOW)), at(i))
     ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.pmod(rolled(i), F.lit(DIVISOR)) == 0))
-    return F.transform(
-        F.transform(ends, lambda e, k: F.struct(k.alias("k"), e.alias("e"), F.when(k == 0, F.lit(1)).otherwise(F.get(ends, k - 1) + 1).alias("b"))),
-        lambda c: F.struct(c["k"].alias("idx"), c["b"].alias("first"), c["e"].alias("last"), F.array_join(F.slice(s["l"], c["b"], c["e"] - c["b"] + 1), "\n").alias("body")),
-    )
+    spans = let(ends, lambda ends: F.transform(ends, lambda e, k: F.struct(F.when(k == 0, F.lit(1)).otherwise(F.get(ends, k - 1) + 1).alias("b"), e.alias("e"))))
+    return F.transform(F.filter(spans, lambda c: c["e"] > c["b"]), lambda c: _span(c["b"], c["e"]))
+
+
+def _passages(full, onward: bool):
+    """Spans of the shortest passage from each line; full: array<struct<i, n>>, number and words of the lines with words, backwards if not onward."""
+
+    def far(k):  # each of the lines has a word, so one more than WORDS are enough
+        start = F.struct(F.lit(0).alias("n"), F.lit(None).cast("int").alias("i"))
+        add = lambda a, x: F.struct((a["n"] + x["n"]).alias("n"), F.when(a["i"].isNull() & (a["n"] + x["n"] > WORDS), x["i"]).otherwise(a["i"]).alias("i"))
+        return F.aggregate(F.slice(full, k + 1, WORDS + 1), start, add, lambda a: a["i"])
+
+    def end(k):
+        at = lambda j: F.get(full, k + j)
+        out, total = F, F.lit(0)
+        for j in range(SHORT):
+            total = total + at(j)["n"]
+            out = out.when(total > WORDS, at(j)["i"])
+        return out.otherwise(far(k))
+
+    span = lambda x, k: _span(x["i"], end(k)) if onward else _span(end(k), x["i"])
+    return F.filter(F.transform(full, span), lambda p: p.isNotNull())
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), cut: the [first, last] line ranges to remove from each document that has any."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.explode(chunks_of(F.col("text"))).alias("c")).where("c.last > c.first")
-    own = own.select("doc_id", "th", "c.idx", "c.first", "c.last", F.xxhash64("c.body").alias("h"), "c.body")
-    twice = materialise(own.groupBy("h").agg(F.count("*").alias("w")).where("w > 1").withColumnRenamed("h", "h2"), "hashes")
-    some = materialise(lookup_join(own, twice, [("h", "h2")], "w", F.xxhash64("doc_id", "idx"), ["w"]).where("w is not null").drop("w"), "chunks")
-    place = F.struct("doc_id", "th", "idx")
-    keep = some.groupBy("h", "body").agg(F.min(place).alias("keep"), F.count("*").alias("w")).where("w > 1")
-    keep = materialise(keep.select(F.col("h").alias("h2"), F.col("body").alias("b2"), "keep", "w"), "keepers")
+
+    def own(key):
+        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.explode(runs_of(F.col("text"), key)).alias("c"))
+
+    twice = own(F.xxhash64).groupBy(F.col("c.key").alias("h2")).agg(F.count("*").alias("w")).where("w > 1")
+    twice = materialise(twice, "hashes")
+    all_runs = own(lambda body: F.struct(F.xxhash64(body).alias("h"), F.unhex(F.sha2(body, 256)).alias("s")))
+    all_runs = all_runs.select("doc_id", "th", "c.first", "c.last", "c.key.h", "c.key.s")
+    some = lookup_join(all_runs, twice, [("h", "h2")], "w", F.xxhash64("doc_id", "first"), ["w"])
+    some = materialise(some.where("w is not null").drop("w", "h"), "runs")
+    place = F.struct("doc_id", "th", "first")
+    keep = some.groupBy("s").agg(F.min(place).alias("keep"), F.count("*").alias("w")).where("w > 1")
+    keep = materialise(keep.select(F.col("s").alias("s2"), "keep", "w"), "keepers")
     # equal rows of documents are one document here: all its rows keep what the first keeps
-    gone = hot_safe_join(some.withColumn("place", place), keep, [("h", "h2"), ("body", "b2")], "w", F.xxhash64("doc_id", "idx"), ["keep"])
+    gone = hot_safe_join(some.withColumn("place", place), keep, [("s", "s2")], "w", F.xxhash64("doc_id", "first"), ["keep"])
     gone = gone.where(F.col("keep").isNotNull() & ~F.col("keep").eqNullSafe(F.col("place")))
     return gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("cut"))
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """docs with the repeated chunks cut out of text, plus __n_lines, __n_removed; all other columns unchanged.
+    """docs with the repeated runs of lines cut out of text, plus __n_lines, __n_removed; all other columns unchanged.
 
-    Null and one-line texts stay as they are; a text whose chunks are all repeats becomes empty;
+    Null texts stay as they are; a text whose lines are all repeats becomes empty;
     repeated rows (same doc_id and text) are treated as one document; a null doc_id sorts first;
     an empty table gives an empty result. Names that start with two underscores are the operator's.
     """
@@ -69,11 +118,14 @@ def remove(docs: DataFrame) -> DataFrame:
     same = docs["doc_id"].cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h"))
     d = docs.join(F.broadcast(cut) if few else cut, same, "left")
     lines = F.split("text", "\n")
-    kept = F.filter(lines, lambda x, i: ~F.exists("__cut", lambda c: (i + 1 >= c["first"]) & (i + 1 <= c["last"])))
+    # the ranges overlap; array_except hashes, so the cost is in proportion to their lengths
+    gone = F.flatten(F.transform("__cut", lambda c: F.sequence(c["first"], c["last"])))
+    left = F.array_except(F.sequence(F.lit(1), F.size(lines)), gone)
+    kept = let(lines, lambda a: F.transform(left, lambda i: F.get(a, i - 1)))
+    d = d.withColumn("__n_removed", F.when(F.col("__cut").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(left)))
     d = d.withColumn("__n_lines", F.coalesce(F.size(lines), F.lit(0)))
     d = d.withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    removed = F.aggregate("__cut", F.lit(0), lambda a, c: a + c["last"] - c["first"] + 1)
-    return d.withColumn("__n_removed", F.coalesce(removed, F.lit(0))).drop("__d", "__h", "__cut")
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns], "__n_lines", "__n_removed")
 
 
 def dedup(docs: DataFrame) -> DataFrame:

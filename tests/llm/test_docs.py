@@ -273,6 +273,43 @@ def test_line_dedup_is_brute_force(spark):
     assert got == want and sum(len(want[i] or "") < len(t or "") for i, t in enumerate(texts)) > 10
 
 
+def brute_passages(rows, most):
+    """Texts without the lines of runs of over `most` words that an earlier place holds."""
+    seen, out = set(), {}
+    for i, t in rows:
+        lines = t.split("\n")
+        gone = set()
+        for a in range(len(lines)):  # an earlier start in the same text counts too
+            fresh = []
+            for b in range(a, len(lines)):
+                run = "\n".join(lines[a : b + 1])
+                if lines[a].split() and lines[b].split() and len(run.split()) > most:
+                    if run in seen:
+                        gone |= set(range(a, b + 1))
+                    fresh.append(run)
+            seen |= set(fresh)
+        out[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
+    return out
+
+
+def test_line_dedup_removes_every_long_passage(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "DIVISOR", 1)  # each line a chunk of its own: passages only
+    rng = random.Random(9)
+    line = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    shared = [[line(n) for n in sizes] for sizes in ([60], [26, 26], [9, 0, 30, 20], [17, 17, 17], [1] * 55, [50], [20, 30], [51, 3, 2])]
+    texts = ["\n".join(s) for s in shared]
+    for _ in range(40):
+        t = [line(rng.choice([0, 3, 12, 70])) for _ in range(rng.randint(0, 4))]
+        for s in rng.sample(shared, 2):
+            at = rng.randint(0, len(t))
+            t[at:at] = s
+        texts.append("\n".join(t))
+    texts += [texts[0], "\n".join([line(20), line(20)] * 1 + shared[3] * 3), "\n".join(shared[3][:2] * 4)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(docs_of(spark, texts)).collect()}
+    want = brute_passages(list(enumerate(texts)), line_dedup.WORDS)
+    assert got == want and want[len(shared) + 40] == ""
+
+
 def test_line_dedup_edges(spark, odd_docs):
     out = line_dedup.dedup(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == 11
