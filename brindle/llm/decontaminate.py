@@ -2,7 +2,8 @@
 
 Words become template tokens: numbers, units after a number, and names (capitalised inside a
 sentence) become typed placeholders, other words lose case and outer punctuation. Windows of
-WIDTH tokens of the documents are hash-joined with the benchmark's; the hits of one alignment of
+WIDTH tokens of the documents are hash-joined with the benchmark's, once as templates and once
+as plain words without case and outer punctuation, so a copy in capitals is found too; the hits of one alignment of
 an item count when their slots are consistent: one value of a slot type in the item always
 stands for one value in the document, and the other way round. So a question whose numbers or
 names were changed throughout is still caught.
@@ -41,9 +42,15 @@ def canonical(flat):
     return F.lower(F.regexp_replace(units, OUTER, ""))
 
 
+def literal(flat):
+    """A plain() text's words without case and outer punctuation; word for word."""
+    return F.lower(F.regexp_replace(flat, OUTER, ""))
+
+
 def windows(df: DataFrame) -> DataFrame:
     """The other columns, pos (from 0), w (hash), __t (tokens) and __raw (words as they stand) for each window of df.text.
 
+    Each window comes twice: by its template tokens and by its plain words, which are then __t.
     Documents shorter than WIDTH words are one window padded by nulls. Null texts have none.
     """
     keep = [c for c in df.columns if c != "text"]
@@ -55,11 +62,12 @@ def windows(df: DataFrame) -> DataFrame:
         n = F.greatest(F.size(t) - WIDTH, F.lit(0))
         return let(pairs(t, 1, n + 6), lambda two: let(pairs(two, 2, n + 4), lambda four: pairs(four, 4, n)))
 
-    def both(flat):
-        return let(F.split(canonical(flat), " "), lambda t: F.struct(t.alias("t"), F.split(flat, " ").alias("raw"), hashes(t).alias("w")))
+    def form(tokens, flat):
+        return let(F.split(tokens, " "), lambda t: F.struct(t.alias("t"), F.split(flat, " ").alias("raw"), hashes(t).alias("w")))
 
     # a generator's output is computed once, whatever reads it
-    d = df.select(*keep, F.inline_outer(F.when(F.length(F.trim("text")) > 0, F.array(let(plain(F.col("text")), both)))).alias("__t", "__raw", "__w"))
+    forms = let(plain(F.col("text")), lambda flat: F.array(form(canonical(flat), flat), form(literal(flat), flat)))
+    d = df.select(*keep, F.inline_outer(F.when(F.length(F.trim("text")) > 0, forms)).alias("__t", "__raw", "__w"))
     return d.select(*keep, "__t", "__raw", F.posexplode_outer("__w").alias("pos", "w")).where("w is not null")
 
 

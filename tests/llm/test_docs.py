@@ -349,6 +349,16 @@ def test_inconsistent_slots_do_not_count(spark):
     assert [r["contaminated"] for r in decontaminate.scan(docs, bench).orderBy("doc_id").collect()] == [True, False]
 
 
+def found_in(spark, item, texts):
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    return [r["contaminated"] for r in decontaminate.scan(docs_of(spark, texts), bench).orderBy("doc_id").collect()]
+
+
+def test_copies_in_capitals_are_found(spark):
+    item = "Which of the two trains leaves the old station first when the night falls over a town?"
+    assert found_in(spark, item, ["Before it. " + item.upper() + " AND AFTER IT", "see " + item.title(), item.upper()[:30]]) == [True, True, False]
+
+
 def test_decontamination_edges(spark, odd_docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert decontaminate.clean(odd_docs, bench).columns == odd_docs.columns
