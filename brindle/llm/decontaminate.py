@@ -47,49 +47,57 @@ def literal(flat):
     return F.lower(F.regexp_replace(flat, OUTER, ""))
 
 
-def windows(df: DataFrame) -> DataFrame:
-    """The other columns, pos (from 0), w (hash), __t (tokens) and __raw (words as they stand) for each window of df.text.
+def windows(df: DataFrame, widths: list[int]) -> DataFrame:
+    """The other columns, m (tokens), pos (from 0), w (hash), __t (tokens) and __raw (words as they stand) for each window of df.text.
 
-    Each window comes twice: by its template tokens and by its plain words, which are then __t.
-    Documents shorter than WIDTH words are one window padded by nulls. Null texts have none.
+    Windows have WIDTH tokens or as many as one of the smaller widths says. Each comes twice: by
+    its template tokens and by its plain words, which are then __t. Null texts have none.
     """
     keep = [c for c in df.columns if c != "text"]
 
     def pairs(a, gap: int, n):
         return F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(F.get(a, i), F.get(a, i + gap)))
 
-    def hashes(t):  # of 2, then 4, then 8 tokens
-        n = F.greatest(F.size(t) - WIDTH, F.lit(0))
-        return let(pairs(t, 1, n + 6), lambda two: let(pairs(two, 2, n + 4), lambda four: pairs(four, 4, n)))
+    def hashes(t, m):
+        n = F.size(t) - m
+        if m < WIDTH:
+            out = F.transform(F.sequence(F.lit(0), n), lambda i: F.xxhash64(*[F.get(t, i + j) for j in range(m)]))
+        else:  # of 2, then 4, then 8 tokens
+            out = let(pairs(t, 1, n + 6), lambda two: let(pairs(two, 2, n + 4), lambda four: pairs(four, 4, n)))
+        return F.when(n >= 0, out)
 
     def form(tokens, flat):
-        return let(F.split(tokens, " "), lambda t: F.struct(t.alias("t"), F.split(flat, " ").alias("raw"), hashes(t).alias("w")))
+        one = lambda t, m: F.struct(t.alias("t"), F.split(flat, " ").alias("raw"), F.lit(m).alias("m"), hashes(t, m).alias("w"))
+        return let(F.split(tokens, " "), lambda t: F.array(*[one(t, m) for m in [WIDTH, *widths]]))
 
     # a generator's output is computed once, whatever reads it
-    forms = let(plain(F.col("text")), lambda flat: F.array(form(canonical(flat), flat), form(literal(flat), flat)))
-    d = df.select(*keep, F.inline_outer(F.when(F.length(F.trim("text")) > 0, forms)).alias("__t", "__raw", "__w"))
-    return d.select(*keep, "__t", "__raw", F.posexplode_outer("__w").alias("pos", "w")).where("w is not null")
+    forms = let(plain(F.col("text")), lambda flat: F.concat(form(canonical(flat), flat), form(literal(flat), flat)))
+    d = df.select(*keep, F.inline_outer(F.when(F.length(F.trim("text")) > 0, forms)).alias("__t", "__raw", "m", "__w"))
+    return d.select(*keep, "m", "__t", "__raw", F.posexplode_outer("__w").alias("pos", "w")).where("w is not null")
 
 
-def _slots(tokens, words, pos):
+def _slots(tokens, words, pos, m):
     """array<string> of the window's slot values with their type; words that are no slots are null."""
-    t, r = F.slice(tokens, pos + 1, WIDTH), F.slice(words, pos + 1, WIDTH)
+    t, r = F.slice(tokens, pos + 1, m), F.slice(words, pos + 1, m)
     return F.zip_with(t, r, lambda a, b: F.when(a.isin(NUM, NAME, UNIT), F.concat(a, F.lower(b))))
 
 
-def _literals(tokens, pos):
-    return F.size(F.filter(F.slice(tokens, pos + 1, WIDTH), lambda a: ~a.isin(NUM, NAME, UNIT)))
+def _literals(tokens, pos, m):
+    return F.size(F.filter(F.slice(tokens, pos + 1, m), lambda a: ~a.isin(NUM, NAME, UNIT)))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), item_id, pos for every consistent window hit. benchmark: item_id, text."""
-    b = windows(benchmark.select("item_id", "text"))
-    b = b.where(_literals("__t", F.col("pos")) >= F.least(F.lit(LITERALS), F.size("__t")))
-    b = materialise(b.select("item_id", F.col("pos").alias("ipos"), F.col("w").alias("w2"), _slots("__t", "__raw", F.col("pos")).alias("__bs")), "windows")
+    b = windows(benchmark.select("item_id", "text"), list(range(1, WIDTH))).where(F.col("m") == F.least(F.lit(WIDTH), F.size("__t")))
+    b = b.where(F.array_max(F.slice("__t", F.col("pos") + 1, F.col("m"))) != "")  # punctuation only says nothing
+    b = b.where(_literals("__t", F.col("pos"), F.col("m")) >= F.least(F.lit(LITERALS), F.col("m")))
+    b = materialise(b.select("item_id", "m", F.col("pos").alias("ipos"), F.col("w").alias("w2"), _slots("__t", "__raw", F.col("pos"), F.col("m")).alias("__bs")), "windows")
+    widths = sorted(r["m"] for r in b.where(F.col("m") < WIDTH).select("m").distinct().collect())  # of items shorter than WIDTH
+    b = b.withColumnRenamed("m", "m2")
     few = b.limit(MOST_WINDOWS + 1).count() <= MOST_WINDOWS
-    d = windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text"))
-    found = d.join(F.broadcast(b) if few else b, F.col("w") == F.col("w2"))
-    pairs = F.arrays_zip(F.col("__bs").alias("b"), _slots("__t", "__raw", F.col("pos")).alias("d"))
+    d = windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text"), widths)
+    found = d.join(F.broadcast(b) if few else b, (F.col("w") == F.col("w2")) & (F.col("m") == F.col("m2")))
+    pairs = F.arrays_zip(F.col("__bs").alias("b"), _slots("__t", "__raw", F.col("pos"), F.col("m")).alias("d"))
     found = found.select("doc_id", "th", "item_id", "pos", (F.col("pos") - F.col("ipos")).alias("shift"), F.filter(pairs, lambda p: p["b"].isNotNull()).alias("pairs"))
     # one alignment of an item: at most as many windows as the item has
     runs = found.groupBy("doc_id", "th", "item_id", "shift").agg(F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.collect_set("pos").alias("at"))

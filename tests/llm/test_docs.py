@@ -359,6 +359,14 @@ def test_copies_in_capitals_are_found(spark):
     assert found_in(spark, item, ["Before it. " + item.upper() + " AND AFTER IT", "see " + item.title(), item.upper()[:30]]) == [True, True, False]
 
 
+def test_short_items_are_found_in_longer_documents(spark):
+    texts = ["He asked me then: Who wrote the long poem? Nobody knew it at all.", "Who wrote the long poem", "Who wrote the", "who wrote a long poem and more of the same words"]
+    assert found_in(spark, "Who wrote the long poem?", texts) == [True, True, False, False]
+    eight = "Which old river runs through the northern town?"
+    assert found_in(spark, eight, ["Please see " + eight, "you may see Which old river runs", None]) == [True, False, False]
+    assert found_in(spark, "- ?", ["some words - ? and more", "words"]) == [False, False]
+
+
 def test_decontamination_edges(spark, odd_docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert decontaminate.clean(odd_docs, bench).columns == odd_docs.columns
