@@ -3,10 +3,11 @@
 Words become template tokens: numbers, units after a number, and names (capitalised inside a
 sentence) become typed placeholders, other words lose case and outer punctuation. Windows of
 WIDTH tokens of the documents are hash-joined with the benchmark's, once as templates and once
-as plain words without case and outer punctuation, so a copy in capitals is found too; the hits of one alignment of
-an item count when their slots are consistent: one value of a slot type in the item always
-stands for one value in the document, and the other way round. So a question whose numbers or
-names were changed throughout is still caught.
+as plain words without case and outer punctuation, so a copy in capitals is found too. A hit of
+plain words always counts; one of templates counts when the window's slots are consistent: one
+value of a slot type in the item always stands for one value in the document. So a question whose
+numbers or names were changed throughout is still caught, and one changed in part by its windows
+that do not contradict themselves.
 """
 
 from __future__ import annotations
@@ -48,10 +49,10 @@ def literal(flat):
 
 
 def windows(df: DataFrame, widths: list[int]) -> DataFrame:
-    """The other columns, m (tokens), pos (from 0), w (hash), __t (tokens) and __raw (words as they stand) for each window of df.text.
+    """The other columns, m (tokens), pos (from 0), w (hash), __t (tokens) and __plain (words without case and outer punctuation) for each window of df.text.
 
     Windows have WIDTH tokens or as many as one of the smaller widths says. Each comes twice: by
-    its template tokens and by its plain words, which are then __t. Null texts have none.
+    its template tokens and by its plain words, which are then __t as well. Null texts have none.
     """
     keep = [c for c in df.columns if c != "text"]
 
@@ -66,20 +67,19 @@ def windows(df: DataFrame, widths: list[int]) -> DataFrame:
             out = let(pairs(t, 1, n + 6), lambda two: let(pairs(two, 2, n + 4), lambda four: pairs(four, 4, n)))
         return F.when(n >= 0, out)
 
-    def form(tokens, flat):
-        one = lambda t, m: F.struct(t.alias("t"), F.split(flat, " ").alias("raw"), F.lit(m).alias("m"), hashes(t, m).alias("w"))
-        return let(F.split(tokens, " "), lambda t: F.array(*[one(t, m) for m in [WIDTH, *widths]]))
+    def both(s):
+        return F.array(*[F.struct(t.alias("t"), s["p"].alias("p"), F.lit(m).alias("m"), hashes(t, m).alias("w")) for t in (s["t"], s["p"]) for m in [WIDTH, *widths]])
 
     # a generator's output is computed once, whatever reads it
-    forms = let(plain(F.col("text")), lambda flat: F.concat(form(canonical(flat), flat), form(literal(flat), flat)))
-    d = df.select(*keep, F.inline_outer(F.when(F.length(F.trim("text")) > 0, forms)).alias("__t", "__raw", "m", "__w"))
-    return d.select(*keep, "m", "__t", "__raw", F.posexplode_outer("__w").alias("pos", "w")).where("w is not null")
+    forms = let(plain(F.col("text")), lambda flat: let(F.struct(F.split(canonical(flat), " ").alias("t"), F.split(literal(flat), " ").alias("p")), both))
+    d = df.select(*keep, F.inline_outer(F.when(F.length(F.trim("text")) > 0, forms)).alias("__t", "__plain", "m", "__w"))
+    return d.select(*keep, "m", "__t", "__plain", F.posexplode_outer("__w").alias("pos", "w")).where("w is not null")
 
 
 def _slots(tokens, words, pos, m):
     """array<string> of the window's slot values with their type; words that are no slots are null."""
-    t, r = F.slice(tokens, pos + 1, m), F.slice(words, pos + 1, m)
-    return F.zip_with(t, r, lambda a, b: F.when(a.isin(NUM, NAME, UNIT), F.concat(a, F.lower(b))))
+    t, p = F.slice(tokens, pos + 1, m), F.slice(words, pos + 1, m)
+    return F.zip_with(t, p, lambda a, b: F.when(a.isin(NUM, NAME, UNIT), F.concat(a, b)))
 
 
 def _literals(tokens, pos, m):
@@ -91,19 +91,18 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     b = windows(benchmark.select("item_id", "text"), list(range(1, WIDTH))).where(F.col("m") == F.least(F.lit(WIDTH), F.size("__t")))
     b = b.where(F.array_max(F.slice("__t", F.col("pos") + 1, F.col("m"))) != "")  # punctuation only says nothing
     b = b.where(_literals("__t", F.col("pos"), F.col("m")) >= F.least(F.lit(LITERALS), F.col("m")))
-    b = materialise(b.select("item_id", "m", F.col("pos").alias("ipos"), F.col("w").alias("w2"), _slots("__t", "__raw", F.col("pos"), F.col("m")).alias("__bs")), "windows")
+    b = materialise(b.select("item_id", "m", F.col("pos").alias("ipos"), F.col("w").alias("w2"), _slots("__t", "__plain", F.col("pos"), F.col("m")).alias("__bs")), "windows")
     widths = sorted(r["m"] for r in b.where(F.col("m") < WIDTH).select("m").distinct().collect())  # of items shorter than WIDTH
     b = b.withColumnRenamed("m", "m2")
     few = b.limit(MOST_WINDOWS + 1).count() <= MOST_WINDOWS
     d = windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text"), widths)
     found = d.join(F.broadcast(b) if few else b, (F.col("w") == F.col("w2")) & (F.col("m") == F.col("m2")))
-    pairs = F.arrays_zip(F.col("__bs").alias("b"), _slots("__t", "__raw", F.col("pos"), F.col("m")).alias("d"))
-    found = found.select("doc_id", "th", "item_id", "pos", (F.col("pos") - F.col("ipos")).alias("shift"), F.filter(pairs, lambda p: p["b"].isNotNull()).alias("pairs"))
-    # one alignment of an item: at most as many windows as the item has
-    runs = found.groupBy("doc_id", "th", "item_id", "shift").agg(F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.collect_set("pos").alias("at"))
-    n = F.size("pairs")
-    one = lambda side: n == F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
-    return runs.where(one("b") & one("d")).select("doc_id", "th", "item_id", F.explode("at").alias("pos"))
+    pairs = F.arrays_zip(F.col("__bs").alias("b"), _slots("__t", "__plain", F.col("pos"), F.col("m")).alias("d"))
+    pairs = F.array_distinct(F.filter(pairs, lambda p: p["b"].isNotNull()))
+    consistent = let(pairs, lambda a: F.size(a) == F.size(F.array_distinct(F.transform(a, lambda p: p["b"]))))
+    # a filter would move into the join, which then is not compiled and copies both arrays for each window
+    found = found.select("doc_id", "th", "item_id", F.explode_outer(F.when(consistent, F.array("pos"))).alias("pos")).where("pos is not null")
+    return found.distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
