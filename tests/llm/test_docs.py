@@ -378,6 +378,12 @@ def test_one_inconsistent_slot_does_not_clear_a_document(spark):
     assert found_in(spark, item, ["then we asked Carl, and also Carl about it"]) == [True]
 
 
+def test_items_dense_in_slots_are_found_when_copied(spark):
+    item = "mix 5 kg 3 g 12 ml 7 dollars with Anna Bert Carl 44 km 9 days 2 hours 81 percent"
+    texts = ["Before it we " + item + " and after it.", item.replace("5", "6").replace("12", "13").replace("7", "8").replace("Bert", "Emil").replace("9", "4")]
+    assert found_in(spark, item, texts) == [True, False]
+
+
 def test_decontamination_edges(spark, odd_docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert decontaminate.clean(odd_docs, bench).columns == odd_docs.columns
