@@ -7,15 +7,22 @@ import gc
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only after a count shows at most so many (narrow) rows.
 BROADCAST_ROWS = 200_000
+#: ... and that they have at most so many bytes.
+BROADCAST_BYTES = 64 << 20
 #: Keys with at least this share of the rows count as hot; so there are at most this many.
 HOT_KEYS = 1000
+#: Below so many left rows no key needs to be dealt out.
+HOT_ROWS = 20_000
 
 _left_over: list[tuple[SparkSession, str]] = []
 
@@ -23,8 +30,15 @@ _left_over: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
 
 
+#: Bytes that Python workers get at once, unless the session says otherwise; Spark's own 256 MB times two copies is most of a small executor.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the executors' Python workers this package, once per application."""
+    """Give the executors' Python workers this package, once per application, and batches of bounded bytes."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -38,11 +52,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder in spark.checkpoint.dir; where that is unset (tests), a folder of this machine."""
+    """The shared folder in spark.checkpoint.dir; where that is unset, a folder of this machine in local mode, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.conf.get("spark.brindle.scratch", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.brindle.scratch", root)
     return root.rstrip("/")
@@ -114,36 +130,52 @@ def _at_exit() -> None:
 atexit.register(_at_exit)
 
 
-def hot_safe_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], weight: str, spread: Column, take: list[str]) -> DataFrame:
-    """Left join with a right side of one row per key, whatever share of the left rows a key holds.
+def _hot(weights: DataFrame, key: Column, weight: str) -> dict[int, int]:
+    """For each key hash with 1/HOT_KEYS of the weight or more (so at most HOT_KEYS of them) the number of parts it is dealt into."""
+    total = weights.agg(F.sum(weight)).first()[0] or 0
+    rows = weights.groupBy(key.alias("k")).agg(F.sum(weight).alias("w")).where(F.col("w") * HOT_KEYS >= total).collect() if total >= HOT_ROWS else []
+    return {r["k"]: -(-r["w"] * HOT_KEYS // total) for r in rows}
+
 
-    right[weight] is the number of left rows with the key. Keys with 1/HOT_KEYS of all rows or
-    more are joined by broadcast (so at most HOT_KEYS rows); all others by shuffle, where no key
-    is large; the hot keys' left rows are spread over that shuffle by `spread`. `take` names the
-    right columns to add (null where nothing matches).
+def hot_safe_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], weight: str, spread: Column, take: list[str], weights: DataFrame | None = None, how: str = "left") -> DataFrame:
+    """Left join (or inner) with a right side of one row per key, whatever share of the left rows a key holds.
+
+    weights[weight] (right's own column by default) is the number of left rows with the key.
+    The left rows of a hot key are dealt by `spread` into parts of at most 1/HOT_KEYS of all
+    rows, and its right row is repeated for each part (so 2 * HOT_KEYS times at most); all goes
+    through one shuffle join. `take` names the right columns to add (null where nothing matches).
     """
-    total = right.agg(F.sum(weight).alias("__total"))
-    hot = right.crossJoin(F.broadcast(total)).where(F.col(weight) * HOT_KEYS >= F.col("__total"))
-    pick = [F.col(r).alias(f"__k{i}") for i, (_, r) in enumerate(on)]
-    side = [*pick, F.struct(*take).alias("__v"), F.lit(0).alias("__s")]
-    a = hot.select(*[c.alias(f"__h{i}") for i, c in enumerate(pick)], F.struct(*take).alias("__hv"))
+    kinds = [left.schema[c].dataType for c, _ in on]
+    hashed = lambda df, side: F.xxhash64(*[df[c[side]].cast(k) for c, k in zip(on, kinds, strict=True)])
+    weights = right if weights is None else weights
+    hot = _hot(weights, hashed(weights, 1), weight)
+    r = right.select(*[right[k].cast(t).alias(f"__k{i}") for i, ((_, k), t) in enumerate(zip(on, kinds, strict=True))], F.struct(*take).alias("__v"), hashed(right, 1).alias("__h"))
     m = None
+    if hot:
+        keys = ",".join(f"{k}L" if k > -(1 << 63) else f"{k + 1}L - 1L" for k in hot)
+        parts = F.expr(f"element_at(map_from_arrays(array({keys}), array({','.join(map(str, hot.values()))})), __h)")
+        warm = F.col("__h").isin(list(hot))
+        r = r.withColumn("__s", F.explode(F.when(warm, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.lit(0)))))
+        left_s = left.withColumn("__h", hashed(left, 0)).withColumn("__t", F.when(warm, F.pmod(F.hash(spread), parts)).otherwise(F.lit(0))).drop("__h")
+        m = left_s["__t"] == r["__s"]
+    else:
+        left_s = left
     for i, (c, _) in enumerate(on):
-        e = left[c].eqNullSafe(a[f"__h{i}"])
+        e = left_s[c].eqNullSafe(r[f"__k{i}"])
         m = e if m is None else m & e
-    l1 = left.join(F.broadcast(a), m, "left").drop(*[f"__h{i}" for i in range(len(on))])
-    l1 = l1.withColumn("__t", F.when(F.col("__hv").isNull(), F.lit(0)).otherwise(F.pmod(F.hash(spread), F.lit(1 << 20)) + 1))
-    b = right.select(*side)
-    n = l1["__t"] == b["__s"]
-    for i, (c, _) in enumerate(on):
-        n = n & l1[c].eqNullSafe(b[f"__k{i}"])
-    out = l1.join(b, n, "left").withColumn("__v", F.coalesce("__hv", "__v"))
-    return out.select(*[left_c for left_c in left.columns], *[F.col("__v")[t].alias(t) for t in take])
+    return left_s.join(r.drop("__h"), m, how).select(*[left_s[c] for c in left.columns], *[F.col("__v")[t].alias(t) for t in take])
+
+
+def fits(df: DataFrame) -> bool:
+    """Whether df is small enough to be broadcast: at most BROADCAST_ROWS rows and BROADCAST_BYTES bytes."""
+    size = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])))
+    r = df.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    return r["n"] <= BROADCAST_ROWS and r["b"] <= BROADCAST_BYTES
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], weight: str, spread: Column, take: list[str]) -> DataFrame:
-    """As hot_safe_join, but by one broadcast where a count shows that right has at most BROADCAST_ROWS rows."""
-    if right.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+    """As hot_safe_join, but by one broadcast where right is small enough. right is read several times, so it should be a written table."""
+    if not fits(right):
         return hot_safe_join(left, right, on, weight, spread, take)
     r = right.select(*[F.col(k).alias(f"__k{i}") for i, (_, k) in enumerate(on)], F.struct(*take).alias("__v"))
     m = None
@@ -153,6 +185,19 @@ def lookup_join(left: DataFrame, right: DataFrame, on: list[tuple[str, str]], we
     return left.join(F.broadcast(r), m, "left").select(*left.columns, *[F.col("__v")[t].alias(t) for t in take])
 
 
+def slices(batch: pa.RecordBatch, text: str, size: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices whose texts have about `size` bytes together, or one row; the text column as bytes."""
+    at = batch.schema.get_field_index(text)
+    batch = batch.set_column(at, text, batch.column(at).cast(pa.binary()))
+    lengths = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).cumsum()
+    first = 0
+    while first < batch.num_rows:
+        base = lengths[first - 1] if first else 0
+        last = max(first + 1, int(lengths.searchsorted(base + size, side="right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def let(value: Column, f) -> Column:
     """f(value) with value evaluated once, also where f uses it in lambdas."""
     return F.transform(F.array(value), f)[0]

@@ -10,20 +10,22 @@ Nothing is enumerated twice: equal sets are one class; stars around a pivot of e
 bucket first connect what is alike; only pairs of different components are then joined, in
 blocks for large buckets. Parity sketches (each differing shingle flips one bit: first of 256,
 then of a number in proportion to the set) drop pairs that cannot qualify, without loss; the
-rest is verified on the whole sets.
+rest is verified on the whole sets. Shingles are told apart by 64 bits made of BLAKE2 hashes of
+their words: two different ones agree with a chance of 2**-64, so sizes and links are exact up to that.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import BROADCAST_ROWS, discard, hot_safe_join, lookup_join, materialise, ship, sweep
+from brindle.llm.common import BROADCAST_ROWS, discard, hot_safe_join, lookup_join, materialise, ship, slices, sweep
 from brindle.llm.components import components
 
 #: Heavy hitters that move to the end of the order; a matter of speed, never of results.
@@ -35,17 +37,11 @@ LONGEST = 4  # largest l
 BLOCK = 512  # larger prefix buckets are joined in blocks of about so many rows
 STARS = 2
 CROWD = 16  # buckets from this size on are first connected by stars
-# word hashes: polynomials in an odd base modulo 2**64, read off prefix sums, then mixed
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_PART = 1 << 20  # bytes hashed at once
-_table: dict[str, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_PART = 1 << 18  # bytes split into words at once; a part ends before white space
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
+_WORDS = 200_000  # words whose hashes a worker keeps
+_SLICE = 4 << 20  # bytes of text turned into shingles at once
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,54 +51,45 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class _Hashes(dict):
+    """The first 64 bits of BLAKE2 of a word, kept for short words."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= 40:
+            if len(self) >= _WORDS:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_hashes = _Hashes()
+
+
 def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash of each word [^\\x20\\x09-\\x0D]+, A-Z taken as a-z."""
-    if not _table:
-        low = np.arange(256, dtype=np.uint64)
-        low[65:91] += np.uint64(32)
-        _table["byte"] = _mix((low + np.uint64(1)) * np.uint64(0x94D049BB133111EB))
-        space = np.zeros(256, bool)
-        space[[32, *range(9, 14)]] = True
-        _table["space"] = space
-        _table["up"], _table["down"] = _powers(_BASE, _PART + 1), _powers(_INVERSE, _PART + 1)
-    if len(data) > _PART:  # very long texts in parts that end between words
-        found, at = [], 0
-        while at < len(data):
-            end = at + _PART
-            if end < len(data):
-                while end > at and not _table["space"][data[end]]:
-                    end -= 1
-                if end == at:  # one word longer than a part
-                    end = at + _PART
-                    while end < len(data) and not _table["space"][data[end]]:
-                        end += 1
-                    long = np.uint64(int.from_bytes(hashlib.blake2b(data[at:end].lower(), digest_size=8).digest(), "little"))
-                    found.append(np.asarray([long]))
-                    at = end
-                    continue
-            found.append(word_hashes(data[at:end]))
-            at = end
-        return np.concatenate(found)
-    b = np.frombuffer(data, np.uint8)
-    gap = np.ones(len(b) + 2, bool)
-    gap[1:-1] = _table["space"][b]
-    edge = np.flatnonzero(gap[1:] != gap[:-1])
-    start, end = edge[0::2], edge[1::2]
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_table["byte"][b] * _table["up"][: len(b)], out=sums[1:])
-    return _mix((sums[end] - sums[start]) * _table["down"][start])
-
-
-def shingles(text: str | None, k: int) -> np.ndarray:
+    found, at = [], 0
+    while at < len(data):
+        gap = _GAP.search(data, at + _PART)
+        end = gap.start() if gap else len(data)
+        words = data[at:end].lower().split()
+        found.append(np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)))
+        at = end
+    return np.concatenate([*found, np.empty(0, np.uint64)])
+
+
+def shingles(text: bytes | str | None, k: int) -> np.ndarray:
     """The distinct shingles of a whole text as sorted 64-bit hashes; with fewer than k words, one for all of them."""
-    w = word_hashes(text.encode("utf-8", "surrogatepass")) if isinstance(text, str) else np.empty(0, np.uint64)
+    if isinstance(text, str):
+        text = text.encode("utf-8", "surrogatepass")
+    w = word_hashes(text or b"")
     if not len(w):
         return w
     k = min(k, len(w))
     n = len(w) - k + 1
     x = np.full(n, k, np.uint64)
     for i in range(k):
-        x = _mix((x ^ w[i : i + n]) * np.uint64(_BASE))
+        x = _mix((x ^ w[i : i + n]) * _BASE)
     x.sort()
     return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
@@ -111,21 +98,27 @@ def heavy(docs: DataFrame, k: int, size: int = HOT_SHINGLES) -> tuple[np.ndarray
     """About the `size` most frequent shingles over all documents, with counts (at most size pairs, and their number by magnitude, reach the driver)."""
     ship(docs.sparkSession)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, cnt = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for pdf in batches:
-            sets = [shingles(t, k) for t in pdf["text"].array]
-            t, c = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
-            t, c = t[c > 1], c[c > 1]
-            both, at = np.unique(np.concatenate([tok, t]), return_inverse=True)
-            sums = np.bincount(at, np.concatenate([cnt, c]), len(both)).astype(np.int64)
-            if len(both) > size:
-                keep = np.argpartition(-sums, size)[:size]
-                both, sums = both[keep], sums[keep]
-            tok, cnt = both, sums
-        yield pd.DataFrame({"t": tok.view(np.int64), "c": cnt})
-
-    sums = docs.select("text").mapInPandas(count, "t long, c long").groupBy("t").agg(F.sum("c").alias("c"))
+        for batch in batches:
+            for part in slices(batch, "text", _SLICE):
+                sets = [shingles(t, k) for t in part["text"].to_pylist()]
+                t, c = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_counts=True)
+                t, c = np.concatenate([tok, t]), np.concatenate([cnt, c])
+                order = np.argsort(t, kind="stable")
+                t, c = t[order], c[order]
+                first = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.empty(0, int)
+                tok, cnt = t[first], np.add.reduceat(c, first) if len(first) else c
+                if len(tok) > 2 * size:
+                    keep = np.sort(np.argpartition(-cnt, size)[:size])
+                    tok, cnt = tok[keep], cnt[keep]
+        tok, cnt = tok[cnt > 1], cnt[cnt > 1]
+        if len(tok) > size:
+            keep = np.argpartition(-cnt, size)[:size]
+            tok, cnt = tok[keep], cnt[keep]
+        yield pa.RecordBatch.from_arrays([pa.array(tok.view(np.int64)), pa.array(cnt)], ["t", "c"])
+
+    sums = docs.select("text").mapInArrow(count, "t long, c long").groupBy("t").agg(F.sum("c").alias("c"))
     sums = materialise(sums.withColumn("mag", F.floor(F.log2("c") * 32)), "heavy")
     # the lowest magnitude from which on there are at most `size`: no task sorts or gathers more
     total, least = 0, None
@@ -184,25 +177,34 @@ def fine_off(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(p ^ q).sum())
 
 
+def set_key(s: np.ndarray) -> bytes:
+    """One key for equal sets."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def features(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """doc_id, n, key (of the whole set; null if empty), ell, pre, sk, fine for each row."""
     hot, counts = heavy(docs, k)
     given = docs.sparkSession.sparkContext.broadcast((hot, counts))
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, counts = given.value
-        for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"].array, pdf["text"].array, strict=True):
-                s = shingles(text, k)
-                if not len(s):
-                    rows.append((doc_id, 0, None, 0, None, None, None))
-                    continue
-                ell, pre = prefix(s, hot, counts, num, den)
-                rows.append((doc_id, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(), ell, pre.view(np.int64), sketch(s), fine_sketch(s, num, den)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "key", "ell", "pre", "sk", "fine"]).astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(make, "doc_id long, n long, key binary, ell int, pre array<long>, sk array<long>, fine binary")
+        for batch in batches:
+            for part in slices(batch, "text", _SLICE):
+                rows = []
+                for text in part["text"].to_pylist():
+                    s = shingles(text, k)
+                    if not len(s):
+                        rows.append((0, None, 0, None, None, None))
+                        continue
+                    ell, pre = prefix(s, hot, counts, num, den)
+                    rows.append((len(s), set_key(s), ell, pre.view(np.int64), sketch(s), fine_sketch(s, num, den)))
+                n, key, ell, pre, sk, fine = zip(*rows, strict=True)
+                longs = pa.list_(pa.int64())
+                cols = [part["doc_id"], pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(ell, pa.int32()), pa.array(pre, longs), pa.array(sk, longs), pa.array(fine, pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "key", "ell", "pre", "sk", "fine"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "doc_id long, n long, key binary, ell int, pre array<long>, sk array<long>, fine binary")
 
 
 def _alike(x: str, y: str, num: int, den: int):
@@ -216,17 +218,16 @@ def _sifted(pairs: DataFrame, nodes: DataFrame, num: int, den: int) -> DataFrame
     """The pairs (a, b) without those that the fine sketches rule out."""
     pairs = materialise(pairs, "pairs")
     by_b = pairs.join(nodes.select(F.col("nid").alias("b"), F.struct("n", "fine").alias("y")), "b")
-    w = pairs.groupBy("a").agg(F.count("*").alias("w"))
-    right = nodes.join(w, nodes["nid"] == w["a"]).select("nid", F.struct("n", "fine").alias("x"), "w")
-    both = hot_safe_join(by_b, right, [("a", "nid")], "w", F.col("b"), ["x"])
+    w = pairs.groupBy(F.col("a").alias("nid")).agg(F.count("*").alias("w"))
+    both = hot_safe_join(by_b, nodes.select("nid", F.struct("n", "fine").alias("x")), [("a", "nid")], "w", F.col("b"), ["x"], w)
 
-    def sift(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            off = np.fromiter(map(fine_off, pdf["p"], pdf["q"]), np.int64, len(pdf))
-            yield pdf[["a", "b"]][off * (den + num) <= pdf["nm"].to_numpy() * (den - num)]
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            off = np.fromiter(map(fine_off, batch["p"].to_pylist(), batch["q"].to_pylist()), np.int64, batch.num_rows)
+            yield batch.select(["a", "b"]).filter(pa.array(off * (den + num) <= batch["nm"].to_numpy() * (den - num)))
 
     cols = both.select("a", "b", (F.col("x.n") + F.col("y.n")).alias("nm"), F.col("x.fine").alias("p"), F.col("y.fine").alias("q"))
-    out = materialise(cols.mapInPandas(sift, "a long, b long"), "pairs")
+    out = materialise(cols.mapInArrow(sift, "a long, b long"), "pairs")
     discard(pairs)
     return out
 
@@ -240,19 +241,20 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num:
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     src = src.join(F.broadcast(need) if few else need, F.col("doc_id").eqNullSafe(F.col("__rep")))
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [shingles(t, k) for t in pdf["text"].array]
-            own = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() == bytes(x) for s, x in zip(found, pdf["key"], strict=True)]
-            yield pd.DataFrame({"nid": pdf["nid"], "arr": [s.view(np.int64) for s in found]})[own]
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", _SLICE):
+                found = [shingles(t, k) for t in part["text"].to_pylist()]
+                own = [set_key(s) == x for s, x in zip(found, part["key"].to_pylist(), strict=True)]
+                arr = pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part["nid"], arr], ["nid", "arr"]).filter(pa.array(own))
 
     # a repeated row makes a set twice, which only repeats a link
-    arrays = materialise(src.select("nid", "key", "text").mapInPandas(sets, "nid long, arr array<long>"), "sets")
+    arrays = materialise(src.select("nid", "key", "text").mapInArrow(sets, "nid long, arr array<long>"), "sets")
     sweep(docs.sparkSession)
     by_b = pairs.join(arrays.select(F.col("nid").alias("b"), F.col("arr").alias("y")), "b")
-    w = pairs.groupBy("a").agg(F.count("*").alias("w"))
-    right = arrays.join(w, arrays["nid"] == w["a"]).select("nid", F.col("arr").alias("x"), "w")
-    full = hot_safe_join(by_b, right, [("a", "nid")], "w", F.col("b"), ["x"])
+    w = pairs.groupBy(F.col("a").alias("nid")).agg(F.count("*").alias("w"))
+    full = hot_safe_join(by_b, arrays.select("nid", F.col("arr").alias("x")), [("a", "nid")], "w", F.col("b"), ["x"], w)
     both = F.size(F.array_intersect("x", "y"))
     links = materialise(full.where(both * (den + num) >= (F.size("x") + F.size("y")) * num).select("a", "b"), "links")
     discard(pairs, need, arrays)
@@ -274,7 +276,7 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     nodes = materialise(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     entries = nodes.select(F.explode("pre").alias("tok"), "nid")
     stats = materialise(entries.groupBy("tok").agg(F.count("*").alias("c")).where("c > 1"), "stats")
-    many = hot_safe_join(entries, stats.withColumnRenamed("tok", "t2"), [("tok", "t2")], "c", F.col("nid"), ["c"]).where("c is not null")
+    many = hot_safe_join(entries, stats.withColumnRenamed("tok", "t2"), [("tok", "t2")], "c", F.col("nid"), ["c"], how="inner")
     ent = materialise(many.join(nodes.select("nid", "n", "ell", "copies", "sk"), "nid"), "entries")
     discard(stats)
 
@@ -283,7 +285,7 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     for r in range(STARS):
         order = F.struct((-F.col("copies") if r == 0 else F.xxhash64("nid", F.lit(r))).alias("o"), "nid", "n", "sk", "comp")
         pivots = left.groupBy("tok").agg(F.min(order).alias("p"), F.count("*").alias("pc")).withColumnRenamed("tok", "t2")
-        star = hot_safe_join(left.select("tok", F.struct("nid", "n", "sk", "comp").alias("x")), materialise(pivots, "pivots"), [("tok", "t2")], "pc", F.col("x.nid"), ["p"])
+        star = hot_safe_join(left.select("tok", F.struct("nid", "n", "sk", "comp").alias("x")), materialise(pivots, "pivots"), [("tok", "t2")], "pc", F.col("x.nid"), ["p"], how="inner")
         star = star.where((F.col("x.comp") != F.col("p.comp")) & _alike("x", "p", num, den))
         near = _sifted(star.select(F.col("p.nid").alias("a"), F.col("x.nid").alias("b")).distinct(), nodes, num, den)
         found = _verified(near, nodes, docs, k, num, den)
@@ -337,7 +339,7 @@ def _open(ent: DataFrame, label: DataFrame) -> DataFrame:
     """The entries of buckets that still hold more than one component."""
     left = materialise(_with_comp(ent, label), "crowd")
     more = left.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("w")).where("lo < hi").select(F.col("tok").alias("t2"), "w", F.lit(True).alias("more"))
-    return materialise(hot_safe_join(left, materialise(more, "open"), [("tok", "t2")], "w", F.col("nid"), ["more"]).where("more").drop("more"), "crowd")
+    return materialise(hot_safe_join(left, materialise(more, "open"), [("tok", "t2")], "w", F.col("nid"), ["more"], how="inner").drop("more"), "crowd")
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
