@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import BROADCAST_ROWS, hot_safe_join, let, lookup_join, materialise
+from brindle.llm.common import fits, hot_safe_join, let, materialise
 
 WINDOW = 2
 #: One boundary for so many lines on average.
@@ -95,39 +95,45 @@ def repeated(docs: DataFrame) -> DataFrame:
     twice = materialise(twice, "hashes")
     all_runs = own(lambda body: F.struct(F.xxhash64(body).alias("h"), F.unhex(F.sha2(body, 256)).alias("s")))
     all_runs = all_runs.select("doc_id", "th", "c.first", "c.last", "c.key.h", "c.key.s")
-    some = lookup_join(all_runs, twice, [("h", "h2")], "w", F.xxhash64("doc_id", "first"), ["w"])
-    some = materialise(some.where("w is not null").drop("w", "h"), "runs")
+    some = hot_safe_join(all_runs, twice, [("h", "h2")], "w", F.xxhash64("doc_id", "first"), ["w"], how="inner")
+    some = materialise(some.drop("w", "h"), "runs")
     place = F.struct("doc_id", "th", "first")
     keep = some.groupBy("s").agg(F.min(place).alias("keep"), F.count("*").alias("w")).where("w > 1")
     keep = materialise(keep.select(F.col("s").alias("s2"), "keep", "w"), "keepers")
     # equal rows of documents are one document here: all its rows keep what the first keeps
-    gone = hot_safe_join(some.withColumn("place", place), keep, [("s", "s2")], "w", F.xxhash64("doc_id", "first"), ["keep"])
-    gone = gone.where(F.col("keep").isNotNull() & ~F.col("keep").eqNullSafe(F.col("place")))
+    gone = hot_safe_join(some.withColumn("place", place), keep, [("s", "s2")], "w", F.xxhash64("doc_id", "first"), ["keep"], how="inner")
+    gone = gone.where(~F.col("keep").eqNullSafe(F.col("place")))
     return gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("cut"))
 
 
-def remove(docs: DataFrame) -> DataFrame:
-    """docs with the repeated runs of lines cut out of text, plus __n_lines, __n_removed; all other columns unchanged.
-
-    Null texts stay as they are; a text whose lines are all repeats becomes empty;
-    repeated rows (same doc_id and text) are treated as one document; a null doc_id sorts first;
-    an empty table gives an empty result. Names that start with two underscores are the operator's.
-    """
+def _cleaned(docs: DataFrame) -> DataFrame:
+    """__row (all columns of docs), __text, __n_lines, __n_removed."""
     cut = materialise(repeated(docs).select(F.col("doc_id").alias("__d"), F.col("th").alias("__h"), F.col("cut").alias("__cut")), "cuts")
-    few = cut.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h"))
-    d = docs.join(F.broadcast(cut) if few else cut, same, "left")
-    lines = F.split("text", "\n")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    text = F.col("__row.text")
+    same = F.col("__row.doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(text) == F.col("__h"))
+    d = d.join(F.broadcast(cut) if fits(cut) else cut, same, "left")
+    lines = F.split(text, "\n")
     # the ranges overlap; array_except hashes, so the cost is in proportion to their lengths
     gone = F.flatten(F.transform("__cut", lambda c: F.sequence(c["first"], c["last"])))
     left = F.array_except(F.sequence(F.lit(1), F.size(lines)), gone)
     kept = let(lines, lambda a: F.transform(left, lambda i: F.get(a, i - 1)))
-    d = d.withColumn("__n_removed", F.when(F.col("__cut").isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(left)))
-    d = d.withColumn("__n_lines", F.coalesce(F.size(lines), F.lit(0)))
-    d = d.withColumn("text", F.when(F.col("__cut").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
-    return d.select(*[F.col(f"`{c}`") for c in docs.columns], "__n_lines", "__n_removed")
+    whole = F.col("__cut").isNull()
+    removed = F.when(whole, F.lit(0)).otherwise(F.size(lines) - F.size(left))
+    return d.select("__row", F.when(whole, text).otherwise(F.array_join(kept, "\n")).alias("__text"), F.coalesce(F.size(lines), F.lit(0)).alias("__n_lines"), removed.alias("__n_removed"))
+
+
+def remove(docs: DataFrame) -> DataFrame:
+    """doc_id, text without the repeated runs of lines, n_lines, n_removed for every row of docs (doc_id, text).
+
+    Null texts stay as they are; a text whose lines are all repeats becomes empty; texts are read
+    whole, however long; of equal runs the one with the smallest doc_id, then hash of the text,
+    then place stays; repeated rows (same doc_id and text) are treated as one document; a null
+    doc_id sorts first; an empty table gives an empty result; other columns are ignored.
+    """
+    return _cleaned(docs.select("doc_id", "text")).select("__row.doc_id", F.col("__text").alias("text"), F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The rows of docs with cleaned text, columns unchanged."""
-    return remove(docs).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs with cleaned text, all other columns unchanged, whatever their names; edge cases as in remove()."""
+    return _cleaned(docs).select(*[F.col("__text").alias(c) if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns])

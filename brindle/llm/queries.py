@@ -51,8 +51,7 @@ def op6_html_extraction(spark, sf_dir):
 
 
 def op7_line_dedup(spark, sf_dir):
-    out = line_dedup.remove(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"))
+    return line_dedup.remove(_table(spark, sf_dir, "documents"))
 
 
 def op8_best_fit_packing(spark, sf_dir):
