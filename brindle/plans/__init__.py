@@ -6,9 +6,9 @@ import importlib
 import re
 
 from brindle import registry
-from brindle.tables import NAMES, register_views
+from brindle.tables import NAMES, view
 
-MODULES = ("tpch", "relational", "joins", "aggregates", "windows", "functions_scalar", "functions_nested", "storage", "events")
+MODULES = ("tpch", "relational", "joins", "aggregates", "windows", "functions_scalar", "functions_nested", "storage", "events", "delivery")
 
 
 def load_all() -> None:
@@ -19,7 +19,10 @@ def load_all() -> None:
 def run_sql(spark, sf_dir: str, text: str, args=None):
     """SQL text over the tables it names; args are typed parameters, by name or by position."""
     used = [n for n in NAMES if re.search(rf"\b{n}\b", text)]
-    register_views(spark, sf_dir, used)
+    if used:  # the tables are common table expressions of the text, so the session's own views stay as they are
+        head = re.match(r"\s*with\s+(recursive\s+)?", text, re.I)
+        tables = ", ".join(f"{n} as (select * from {view(spark, sf_dir, n)})" for n in used)
+        text = f"with {head[1] or ''}{tables}, {text[head.end():]}" if head else f"with {tables} {text}"
     return spark.sql(text, args=args) if args else spark.sql(text)
 
 

@@ -22,7 +22,7 @@ def agg_global_empty(spark, sf):
 
 @query("agg_composite", "select l_linestatus, round(sum(l_extendedprice) / sum(l_quantity), 6) as unit, cast(count(distinct l_linenumber) as int) as lines from lineitem group by l_linestatus", "D3")
 def agg_composite(spark, sf):
-    return load(spark, sf, "lineitem").groupBy("l_linestatus").agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6).alias("unit"), F.size(F.collect_set("l_linenumber")).alias("lines"))
+    return load(spark, sf, "lineitem").groupBy("l_linestatus").agg(F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6).alias("unit"), F.count_distinct("l_linenumber").cast("int").alias("lines"))
 
 
 @query("agg_distinct", "select l_returnflag, count(distinct l_suppkey) as a, count(distinct (l_suppkey, l_linenumber)) as b, cast(sum(distinct l_linenumber) as bigint) as c, avg(distinct l_linenumber) as d from lineitem group by l_returnflag", "D4 2.I")
@@ -108,6 +108,48 @@ def agg_first_last(spark, sf):
     return load(spark, sf, "orders").groupBy("o_custkey").agg(F.min_by("o_orderkey", at).alias("f"), F.max_by("o_orderkey", at).alias("l"))
 
 
-@query("agg_approx", None, "2.I 2.N")
+@query("pivot_discovered", "select o_orderpriority, nullif(count(*) filter (where o_orderstatus = 'F'), 0) as \"F\", nullif(count(*) filter (where o_orderstatus = 'O'), 0) as \"O\", nullif(count(*) filter (where o_orderstatus = 'P'), 0) as \"P\" from orders group by o_orderpriority", "D13")
+def pivot_discovered(spark, sf):
+    """Without a list of values Spark first asks for the distinct ones (at most spark.sql.pivotMaxValues)."""
+    return load(spark, sf, "orders").groupBy("o_orderpriority").pivot("o_orderstatus").count()
+
+
+@query(
+    "pivot_keys",
+    "select l_linenumber, " + ", ".join(f"round(sum(l_quantity) filter (where l_returnflag = '{a}' and l_linestatus = '{b}'), 2) as \"{a}_{b}\"" for a in "AR" for b in "FO") + " from lineitem group by l_linenumber",
+    "D13",
+)
+def pivot_keys(spark, sf):
+    """A pivot over two keys: over their struct, with the pairs of values as given."""
+    both_keys = F.concat_ws("_", "l_returnflag", "l_linestatus").alias("rs")
+    d = load(spark, sf, "lineitem").select("l_linenumber", both_keys, "l_quantity").groupBy("l_linenumber")
+    return d.pivot("rs", [f"{a}_{b}" for a in "AR" for b in "FO"]).agg(F.round(F.sum("l_quantity"), 2))
+
+
+@query("agg_approx", "select l_returnflag, true as n, true as p, true as ap, true as hll, true as same from lineitem group by l_returnflag", "2.I 2.N")
 def agg_approx(spark, sf):
-    return load(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey").alias("n"), F.percentile_approx("l_extendedprice", 0.5).alias("p"), F.any_value("l_linestatus").alias("any"), F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")).alias("hll"), F.first("l_tax").alias("f"), F.last("l_tax").alias("l"))
+    """Approximate aggregates within the error that they promise, and first, last and any_value of a column that is the same in a group."""
+    near = lambda a, b, share: F.abs(a - b) <= share * b
+    exact, mid = F.count_distinct("l_partkey"), F.percentile("l_extendedprice", 0.5)
+    kind = F.concat("l_returnflag", F.lit("!"))
+    li = load(spark, sf, "lineitem").withColumn("kind", kind)
+    return li.groupBy("l_returnflag").agg(
+        near(F.approx_count_distinct("l_partkey", 0.02), exact, 0.1).alias("n"),
+        near(F.percentile_approx("l_extendedprice", 0.5), mid, 0.02).alias("p"),
+        near(F.approx_percentile("l_extendedprice", F.lit(0.5), F.lit(5000)), mid, 0.02).alias("ap"),
+        near(F.hll_sketch_estimate(F.hll_sketch_agg("l_partkey")), exact, 0.1).alias("hll"),
+        ((F.any_value("kind") == F.first("kind")) & (F.last("kind") == F.max("kind"))).alias("same"),
+    )
+
+
+@query("agg_sketches", "select true as cms, true as union_hll, true as bitmap", "2.N")
+def agg_sketches(spark, sf):
+    """Sketches that are made apart and merged: sizes and estimates."""
+    o = load(spark, sf, "orders")
+    per = o.groupBy("o_orderstatus").agg(F.hll_sketch_agg("o_custkey").alias("s"))
+    merged = per.agg(F.hll_sketch_estimate(F.hll_union_agg("s")).alias("u"))
+    exact = o.agg(F.count_distinct("o_custkey").alias("x"), F.length(F.count_min_sketch(F.col("o_custkey"), F.lit(0.01), F.lit(0.95), F.lit(3))).alias("c"))
+    bits = o.groupBy(F.bitmap_bucket_number("o_orderkey").alias("k")).agg(F.bitmap_count(F.bitmap_construct_agg(F.bitmap_bit_position("o_orderkey"))).alias("n")).agg(F.sum("n").alias("b"), F.lit(0).alias("z"))
+    keys = o.agg(F.count_distinct("o_orderkey").alias("ok"))
+    d = merged.crossJoin(exact).crossJoin(bits).crossJoin(keys)  # one row each
+    return d.select((F.col("c") > 0).alias("cms"), (F.abs(F.col("u") - F.col("x")) <= 0.1 * F.col("x")).alias("union_hll"), (F.col("b") == F.col("ok")).alias("bitmap"))

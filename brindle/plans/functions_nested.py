@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from brindle.functions import array_exists, array_forall, array_reverse
+from brindle.plans import both, run_sql
 from brindle.plans.functions_scalar import family
 from brindle.registry import query
 from brindle.tables import load
@@ -53,15 +55,47 @@ def explode_outer(spark, sf):
     return n.select("n_nationkey", F.explode_outer("a").alias("v"))
 
 
-@query("posexplode_inline_stack", "select n_nationkey, i as pos, case i when 0 then n_name else 'z' end as v from nation, (values (0), (1)) t(i)", "2.N")
-def posexplode_inline_stack(spark, sf):
+@query("posexplode_rows", "select n_nationkey, i as pos, case i when 0 then n_name else 'z' end as v from nation, (values (0), (1)) t(i)", "2.N")
+def posexplode_rows(spark, sf):
     return load(spark, sf, "nation").select("n_nationkey", F.posexplode(F.array("n_name", F.lit("z"))).alias("pos", "v"))
 
 
+@query("posexplode_outer_rows", "select n_nationkey, case when n_regionkey > 2 then 0 end as pos, case when n_regionkey > 2 then n_name end as v from nation", "2.N")
+def posexplode_outer_rows(spark, sf):
+    n = load(spark, sf, "nation").withColumn("a", F.when(F.col("n_regionkey") > 2, F.array("n_name")))
+    return n.select("n_nationkey", F.posexplode_outer("a").alias("pos", "v"))
+
+
+@query("inline_rows", "select n_nationkey, case i when 0 then n_regionkey else 7 end as x, case i when 0 then n_name else 'z' end as y from nation, (values (0), (1)) t(i)", "2.N")
+def inline_rows(spark, sf):
+    return load(spark, sf, "nation").select("n_nationkey", F.expr("inline(array(struct(n_regionkey as x, n_name as y), struct(7 as x, 'z' as y)))"))
+
+
+@query("inline_outer_rows", "select n_nationkey, case when n_regionkey > 2 then n_regionkey end as x from nation", "2.N")
+def inline_outer_rows(spark, sf):
+    return load(spark, sf, "nation").select("n_nationkey", F.inline_outer(F.when(F.col("n_regionkey") > 2, F.array(F.struct(F.col("n_regionkey").alias("x"))))))
+
+
+both("stack_rows", "select n_nationkey, k, v from nation lateral view stack(2, 'a', n_regionkey, 'b', 9) t as k, v", "2.N", "select n_nationkey, k, case k when 'a' then n_regionkey else 9 end as v from nation, (values ('a'), ('b')) t(k)")
+
+
+@query("fn_array_aliases", "select o_custkey, len(list_filter(b, lambda x: x = 4)) > 0 as some, true as each, array_to_string(list_reverse(b), ',') as back from (select o_custkey, list_sort(list(o_orderkey % 5)) as b from orders group by o_custkey) t", "2.K 2.N")
+def fn_array_aliases(spark, sf):
+    b = load(spark, sf, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.expr("o_orderkey % 5"))).alias("b"))
+    return b.select("o_custkey", array_exists(F.col("b"), lambda x: x == 4).alias("some"), array_forall(F.col("b"), lambda x: x >= 0).alias("each"), F.array_join(array_reverse(F.col("b")).cast("array<string>"), ",").alias("back"))
+
+
+family("fn_variant", "events", ["event_id"], [
+    ("k", "variant_get(parse_json(props), '$.k', 'int')", "cast(json_extract_string(props, '$.k') as int)"), ("t", "try_variant_get(parse_json(props), '$.none', 'int')", "cast(null as int)"), ("b", "parse_json(props):k::string", "json_extract_string(props, '$.k')"), ("n", "is_variant_null(parse_json('null'))", "true"), ("bad", "try_parse_json('{') is null", "true"), ("s", "schema_of_variant(parse_json('[1]'))", "'ARRAY<BIGINT>'"),
+], "2.N 2.M")
+family("fn_csv_xml", "nation", ["n_nationkey"], [
+    ("c", "from_csv(concat(n_name, ',', n_regionkey), 'a string, b int').b", "n_regionkey"), ("tc", "to_csv(struct(n_name, n_regionkey))", "n_name || ',' || n_regionkey"), ("sc", "schema_of_csv('1,abc')", "'STRUCT<_c0: INT, _c1: STRING>'"), ("x", "from_xml(concat('<p><a>', n_regionkey, '</a></p>'), 'a int').a", "n_regionkey"), ("xp", "xpath_string(concat('<p><a>', n_name, '</a></p>'), 'p/a')", "n_name"), ("xi", "xpath_int('<p><a>4</a><a>5</a></p>', 'sum(p/a)')", "cast(9 as int)"), ("xb", "xpath_boolean('<p><a>4</a></p>', 'p/a')", "true"), ("tx", "contains(to_xml(struct(n_regionkey as a)), concat('<a>', n_regionkey, '</a>'))", "true"),
+], "2.N")
+
+
 @query("lateral_view", "select n_nationkey, unnest([n_regionkey, 7]) as v from nation", "E 2.K")
 def lateral_view(spark, sf):
-    load(spark, sf, "nation").createOrReplaceTempView("nation")
-    return spark.sql("select n_nationkey, v from nation lateral view explode(array(n_regionkey, 7)) x as v")
+    return run_sql(spark, sf, "select n_nationkey, v from nation lateral view explode(array(n_regionkey, 7)) x as v")
 
 
 @query("explode_map", "select n_nationkey, k as key, case k when 'name' then n_name else cast(n_regionkey as varchar) end as value from nation, (values ('name'), ('region')) t(k)", "2.K 2.N")
@@ -103,6 +137,6 @@ def vector_norm(spark, sf):
     return load(spark, sf, "embeddings").select("vec_id", F.round(F.sqrt(F.aggregate(sq, F.lit(0.0), lambda a, x: a + x)), 5).alias("norm"))
 
 
-@query("ids_partitions", None, "2.N")
+@query("ids_partitions", "select n_name, true as id, true as p, true as f from nation", "2.N")
 def ids_partitions(spark, sf):
-    return load(spark, sf, "nation").select("n_name", F.monotonically_increasing_id().alias("id"), F.spark_partition_id().alias("p"), (F.input_file_name() != "").alias("f"))
+    return load(spark, sf, "nation").select("n_name", (F.monotonically_increasing_id() >= 0).alias("id"), (F.spark_partition_id() >= 0).alias("p"), (F.input_file_name() != "").alias("f"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from brindle.plans import run_sql
 from brindle.registry import query
 from brindle.tables import load
 
@@ -13,10 +14,7 @@ def family(name: str, table: str, keys: list[str], items: list[tuple[str, str, s
     sql = f"select {', '.join(keys + [f'{o or s} as {n}' for n, s, o in items])} from {origin}{cond}"
 
     def run(spark, sf):
-        d = load(spark, sf, table)
-        if source:
-            d.createOrReplaceTempView(table)
-            d = spark.sql(source)
+        d = run_sql(spark, sf, source) if source else load(spark, sf, table)
         return (d.where(where) if where else d).selectExpr(*keys, *[f"{s} as {n}" for n, s, _ in items])
 
     query(name, sql, tags)(run)
@@ -45,7 +43,9 @@ family("fn_string_format", "part", ["p_partkey"], [
     ("enc", "hex(encode(p_brand, 'UTF-8'))", "hex(p_brand)"), ("dec", "decode(encode(p_brand, 'UTF-8'), 'UTF-8')", "p_brand"), ("tn", "to_number('1,234.50', '9,999.99')", "cast(1234.50 as decimal(6,2))"), ("tc", "to_char(p_size, '999')", "lpad(cast(p_size as varchar), 3, ' ')"),
 ], "2.F 2.N")
 
-query("fn_soundex", None, "2.F")(lambda spark, sf: load(spark, sf, "part").selectExpr("p_partkey", "soundex(p_type) as sx"))
+# the codes of the six types, by the rules of soundex
+SOUNDEX = {"ECONOMY": "E255", "LARGE": "L620", "MEDIUM": "M350", "PROMO": "P650", "SMALL": "S540", "STANDARD": "S353"}
+query("fn_soundex", f"select p_partkey, case p_type {' '.join(f"when '{k}' then '{v}'" for k, v in SOUNDEX.items())} end as sx from part", "2.F")(lambda spark, sf: load(spark, sf, "part").selectExpr("p_partkey", "soundex(p_type) as sx"))
 
 _X = "l_quantity"
 family("fn_math", "lineitem", ["l_orderkey", "l_linenumber", "l_quantity"], [
@@ -74,7 +74,9 @@ family("fn_date_text", "orders", ["o_orderkey"], [
     ("df", "date_format(o_orderdate, 'yyyy-MM-dd')", "strftime(o_orderdate, '%Y-%m-%d')"), ("td", "to_date('2021-03-04')", "date '2021-03-04'"), ("tf", "to_date('04/03/2021', 'dd/MM/yyyy')", "date '2021-03-04'"), ("tt", "cast(to_timestamp('2021-03-04 05:06:07') as timestamp_ntz)", "timestamp '2021-03-04 05:06:07'"),
     ("ut", "unix_timestamp(o_orderdate)", "cast(epoch(o_orderdate) as bigint)"), ("fu", "from_unixtime(o_orderkey)", "strftime(make_timestamp(o_orderkey * 1000000), '%Y-%m-%d %H:%M:%S')"),
 ], "2.H")
-query("fn_now", None, "2.H")(lambda spark, sf: spark.range(1).selectExpr("current_date() is not null as d", "current_timestamp() is not null as t", "now() is not null as n"))
+query("fn_now", "select true as d, true as t, true as n", "2.H")(
+    lambda spark, sf: spark.range(1).selectExpr("abs(datediff(current_date(), cast(now() as date))) <= 1 as d", "current_timestamp() >= timestamp '2024-01-01' as t", "now() = current_timestamp() as n")
+)
 family("fn_null", "orders", ["o_orderkey"], [
     ("co", "coalesce(nullif(o_orderstatus, 'F'), '?')", None), ("nv", "nvl(nullif(o_orderstatus, 'F'), '?')", "coalesce(nullif(o_orderstatus, 'F'), '?')"), ("ifn", "ifnull(nullif(o_orderstatus, 'F'), '?')", None), ("isn", "isnull(nullif(o_orderstatus, 'F'))", "nullif(o_orderstatus, 'F') is null"), ("inn", "isnotnull(nullif(o_orderstatus, 'F'))", "nullif(o_orderstatus, 'F') is not null"),
     ("n2", "nvl2(nullif(o_orderstatus, 'F'), 1, 0)", "case when nullif(o_orderstatus, 'F') is not null then 1 else 0 end"), ("nn", "nanvl(if(o_orderstatus = 'F', double('NaN'), 1.0D), 2.0D)", "case when o_orderstatus = 'F' then 2.0::double else 1.0::double end"), ("i", "if(o_totalprice > 100000, 'big', 'small')", "case when o_totalprice > 100000 then 'big' else 'small' end"), ("na", "isnan(o_totalprice)", None),

@@ -85,6 +85,22 @@ def asof_join_events(spark, sf):
     return asof_join(a, b, "user_id", "ts", "vts", ["seen"]).select("event_id", "seen")
 
 
+@query("asof_join_nulls", "select a.event_id, b.seen from (select event_id, nullif(user_id, 3) as user_id, case when event_id % 11 <> 0 then ts end as ts from events where event_type = 'purchase') a asof left join (select user_id, ts, max(value) as seen from events where event_type = 'view' group by user_id, ts) b on a.user_id = b.user_id and a.ts >= b.ts", "C12")
+def asof_join_nulls(spark, sf):
+    e = load(spark, sf, "events")
+    a = e.where("event_type = 'purchase'").selectExpr("event_id", "nullif(user_id, 3) as user_id", "case when event_id % 11 <> 0 then ts end as ts")
+    view = e.where("event_type = 'view'")
+    b = view.groupBy("user_id", F.col("ts").alias("vts")).agg(F.max("value").alias("seen"))
+    b = b.union(b.selectExpr("cast(null as bigint)", "vts", "seen")).union(b.selectExpr("user_id", "cast(null as timestamp_ntz)", "seen"))
+    return asof_join(a, b, "user_id", "ts", "vts", ["seen"]).select("event_id", "seen")
+
+
+@query("shuffle_hash_join", "select c_custkey, n_name from customer join nation on c_nationkey = n_nationkey", "C11 B36")
+def shuffle_hash_join(spark, sf):
+    c, n = load(spark, sf, "customer"), load(spark, sf, "nation")
+    return c.join(n.hint("shuffle_hash"), c.c_nationkey == n.n_nationkey).select("c_custkey", "n_name")
+
+
 both("lateral_join", "select c_custkey, t.o_orderkey from customer, lateral (select o_orderkey from orders where o_custkey = c_custkey order by o_totalprice desc, o_orderkey limit 2) t", "C13")
 
 

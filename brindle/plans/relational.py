@@ -129,12 +129,6 @@ def limit_offset(spark, sf):
     return load(spark, sf, "orders").select("o_orderkey").orderBy("o_orderkey").offset(35).limit(20)
 
 
-@query("tail_rows", "select o_orderkey from orders order by o_orderkey desc limit 7", "E4 E5 A17")
-def tail_rows(spark, sf):
-    # the last rows of an order are the first of the reverse order: no full result is gathered
-    return load(spark, sf, "orders").select("o_orderkey").orderBy(F.desc("o_orderkey")).limit(7)
-
-
 @query("distinct_rows", "select distinct l_returnflag, l_linestatus from lineitem", "E6")
 def distinct_rows(spark, sf):
     return load(spark, sf, "lineitem").select("l_returnflag", "l_linestatus").distinct()
@@ -228,11 +222,15 @@ def cov_corr(spark, sf):
     return li.agg(F.round(F.covar_samp("l_quantity", "l_extendedprice"), 4).alias("cov"), F.round(F.corr("l_quantity", "l_extendedprice"), 8).alias("cor"))
 
 
-@query("stat_methods", None, "E17 E18 E19")
+@query(
+    "stat_methods",
+    "select round(covar_samp(l_quantity, l_tax), 8) as cov, round(corr(l_quantity, l_tax), 8) as cor, quantile_disc(l_quantity, 0.25) as q1, quantile_disc(l_quantity, 0.5) as q2, quantile_disc(l_quantity, 0.75) as q3 from lineitem",
+    "E17 E18 E19",
+)
 def stat_methods(spark, sf):
     li = load(spark, sf, "lineitem")
     q = li.stat.approxQuantile("l_quantity", [0.25, 0.5, 0.75], 0.0)
-    return spark.createDataFrame([(li.stat.cov("l_quantity", "l_tax"), li.stat.corr("l_quantity", "l_tax"), q)], "cov double, cor double, quantiles array<double>")
+    return spark.createDataFrame([(round(li.stat.cov("l_quantity", "l_tax"), 8), round(li.stat.corr("l_quantity", "l_tax"), 8), *q)], "cov double, cor double, q1 double, q2 double, q3 double")
 
 
 @query("exact_quantile", "select quantile_cont(l_quantity, 0.25) as q1, median(l_quantity) as q2, quantile_cont(l_quantity, 0.75) as q3 from lineitem", "E19")
@@ -240,14 +238,27 @@ def exact_quantile(spark, sf):
     return load(spark, sf, "lineitem").agg(F.percentile("l_quantity", 0.25).alias("q1"), F.median("l_quantity").alias("q2"), F.percentile("l_quantity", 0.75).alias("q3"))
 
 
-@query("describe_stats", None, "E20")
+def _rows(table: str, column: str, more: dict[str, str], stats: list[tuple[str, str]]) -> str:
+    return " union all ".join(f"select '{k}' as summary, cast({e.format(column)} as double) as {column}{more.get(k, '')} from {table}" for k, e in stats)
+
+
+BASIC = [("count", "count({0})"), ("mean", "round(avg({0}), 4)"), ("stddev", "round(stddev({0}), 4)"), ("min", "min({0})"), ("max", "max({0})")]
+_STATUS = {"count": ", cast(count(o_orderstatus) as varchar) as o_orderstatus", "mean": ", null", "stddev": ", null", "min": ", min(o_orderstatus)", "max": ", max(o_orderstatus)"}
+
+
+@query("describe_stats", _rows("orders", "o_totalprice", _STATUS, BASIC), "E20")
 def describe_stats(spark, sf):
-    return load(spark, sf, "orders").describe("o_totalprice", "o_orderstatus")
+    d = load(spark, sf, "orders").describe("o_totalprice", "o_orderstatus")
+    return d.withColumn("o_totalprice", F.round(F.col("o_totalprice").cast("double"), 4))
+
 
+QUARTERS = [(f"{p}%", f"quantile_disc({{0}}, {p / 100})") for p in (25, 50, 75)]
 
-@query("summary_stats", None, "E21")
+
+@query("summary_stats", _rows("part", "p_size", {}, [*BASIC, *QUARTERS, ("count_distinct", "count(distinct {0})")]), "E21")
 def summary_stats(spark, sf):
-    return load(spark, sf, "orders").select("o_totalprice").summary("count", "mean", "stddev", "min", "25%", "50%", "75%", "max", "count_distinct", "approx_count_distinct")
+    d = load(spark, sf, "part").select("p_size").summary("count", "mean", "stddev", "min", "25%", "50%", "75%", "max", "count_distinct")
+    return d.withColumn("p_size", F.round(F.col("p_size").cast("double"), 4))
 
 
 @query("freq_items_exact", "select l_returnflag as item, count(*) as n from lineitem group by l_returnflag having count(*) >= 0.3 * (select count(*) from lineitem)", "E22")
@@ -255,9 +266,12 @@ def freq_items_exact(spark, sf):
     return exact_freq_items(load(spark, sf, "lineitem"), "l_returnflag", 0.3)
 
 
-@query("freq_items", None, "E22")
+@query("freq_items", "select bool_and(c >= 0) as holds_all from (select count(*) as c from lineitem group by l_returnflag having count(*) >= 0.3 * (select count(*) from lineitem)) t", "E22")
 def freq_items(spark, sf):
-    return load(spark, sf, "lineitem").stat.freqItems(["l_returnflag", "l_linestatus"], 0.3)
+    """freqItems may answer more than what is frequent, but never less."""
+    li = load(spark, sf, "lineitem")
+    some = li.stat.freqItems(["l_returnflag"], 0.3)
+    return exact_freq_items(li, "l_returnflag", 0.3).crossJoin(some).agg(F.bool_and(F.array_contains("l_returnflag_freqItems", F.col("item"))).alias("holds_all"))
 
 
 @query("truncate_isinf", "select l_orderkey, l_linenumber, trunc(l_extendedprice / 10) * 10 as t, false as inf from lineitem", "2.G 2.L")
@@ -265,14 +279,37 @@ def truncate_isinf(spark, sf):
     return load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", truncate(F.col("l_extendedprice"), -1).alias("t"), isinf(F.col("l_extendedprice")).alias("inf"))
 
 
+@query("truncate_decimal", "select cast(1 as int) as id, 0.28::double as a, 0.29::double as b, -1.0::double as c, 1e20::double as d, -1200::double as e", "2.G")
+def truncate_decimal(spark, sf):
+    d = spark.createDataFrame([(1, 0.289, 0.29, -1.005, 1e20, -1234.5)], "id int, a double, b double, c double, d double, e double")
+    return d.select("id", *[truncate(F.col(c), 2).alias(c) for c in "abcd"], truncate(F.col("e"), -2).alias("e"))
+
+
 @query("empty_frame", "select o_orderkey from orders where false", "E33")
 def empty_frame(spark, sf):
     return load(spark, sf, "orders").where(F.lit(False)).select("o_orderkey")
 
 
-@query("transpose_rows", None, "E")
+@query("transpose_rows", "select 'r_regionkey' as key, " + ", ".join(f"max(case when n = {i} then r_regionkey end) as k{i}" for i in range(5)) + " from (select r_regionkey, row_number() over (order by r_name) - 1 as n from region) t", "E")
 def transpose_rows(spark, sf):
-    return load(spark, sf, "region").selectExpr("r_name", "r_regionkey").transpose("r_name")
+    d = load(spark, sf, "region").selectExpr("r_name", "r_regionkey").transpose("r_name")
+    return d.toDF("key", *[f"k{i}" for i in range(len(d.columns) - 1)])  # the columns come in the order of the names
+
+
+LITERALS = [
+    ("b", "true", None), ("ti", "1Y", "cast(1 as tinyint)"), ("si", "2S", "cast(2 as smallint)"), ("i", "3", "cast(3 as int)"), ("l", "4L", "cast(4 as bigint)"), ("f", "1.5F", "cast(1.5 as float)"), ("d", "2.5D", "cast(2.5 as double)"), ("e", "1e3", "cast(1000 as double)"), ("de", "3.25", "cast(3.25 as decimal(3,2))"), ("bd", "4.5BD", "cast(4.5 as decimal(2,1))"),
+    ("s", "'it''s'", None), ("u", "'\u00e9'", "'é'"), ("r", r"r'a\nb'", r"'a\nb'"), ("x", "hex(X'4142')", "'4142'"), ("dt", "date '2020-02-03'", None), ("ts", "timestamp_ntz '2020-02-03 04:05:06'", "timestamp '2020-02-03 04:05:06'"), ("tz", "cast(timestamp '2020-02-03 04:05:06' as timestamp_ntz)", "timestamp '2020-02-03 04:05:06'"), ("ym", "date '2020-01-31' + interval '1-2' year to month", "cast(date '2020-01-31' + interval 14 month as date)"), ("ds", "timestamp_ntz '2020-01-01 00:00:00' + interval '1 02:03:04' day to second", "timestamp '2020-01-02 02:03:04'"),
+    ("nu", "cast(null as int)", None), ("na", "isnan(double('NaN'))", "true"), ("inf", "double('Infinity') > 1e300", "true"), ("ar", "array(1, 2)[1]", "cast(2 as int)"), ("ma", "map('k', 7)['k']", "cast(7 as int)"), ("st", "named_struct('a', 9).a", "cast(9 as int)"),
+]
+both("literals", "select " + ", ".join(f"{e} as {n}" for n, e, _ in LITERALS), "B13", "select " + ", ".join(f"{o or e} as {n}" for n, e, o in LITERALS))
+
+
+both("sql_pivot", "select * from (select o_orderstatus, o_orderpriority, o_orderkey from orders) pivot (count(o_orderkey) for o_orderstatus in ('F' as f, 'O' as o))", "D13", "select o_orderpriority, nullif(count(*) filter (where o_orderstatus = 'F'), 0) as f, nullif(count(*) filter (where o_orderstatus = 'O'), 0) as o from orders group by o_orderpriority")
+both("sql_unpivot", "select * from (select s_suppkey, s_nationkey as a, s_nationkey + 1 as b from supplier) unpivot (v for k in (a, b))", "D14", "select s_suppkey, k, case k when 'a' then s_nationkey else s_nationkey + 1 end as v from supplier, (values ('a'), ('b')) t(k)")
+both("sql_sort_by", "select c_nationkey, min(c_custkey) as first from (select c_nationkey, c_custkey from customer distribute by c_nationkey sort by c_nationkey, c_custkey) t group by c_nationkey", "B37 E1", "select c_nationkey, min(c_custkey) as first from customer group by c_nationkey")
+both("sql_cluster_by", "select count(*) as n from (select c_nationkey from customer cluster by c_nationkey) t", "B37 E1", "select count(*) as n from customer")
+both("sql_tablesample", "select (count(*) < 1500) as fewer from orders tablesample (10 rows)", "E12", "select true as fewer")
+both("sql_tablesample_percent", "select count(*) > 0 and count(*) < 0.5 * (select count(*) from orders) as share from orders tablesample (20 percent) repeatable (5)", "E12", "select true as share")
 
 
 @query("scan_columns", "select l_partkey, round(sum(l_quantity), 2) as q from lineitem where l_discount > 0.05 group by l_partkey", "A1 A5")

@@ -47,12 +47,13 @@ def rows_frames(spark, sf):
 
 
 both("range_interval", "select event_id, count(*) over (partition by user_id order by ts range between interval 1 day preceding and current row) as n from events", "D17")
-both("range_numeric", "select c_custkey, count(*) over (partition by c_nationkey order by c_acctbal range between 100 preceding and 100 following) as n from customer", "D17")
+# keys of a bounded number of rows each, so windows spread over tasks at any scale
+both("range_numeric", "select o_orderkey, count(*) over (partition by o_custkey order by o_totalprice range between 20000 preceding and 20000 following) as n from orders", "D17")
 
 
 @query("groups_frame", "select o_orderkey, round(sum(o_totalprice) over (partition by o_orderstatus order by o_orderpriority groups between 1 preceding and current row), 2) as s from orders", "D18")
 def groups_frame(spark, sf):
-    return groups_window(load(spark, sf, "orders"), ["o_orderstatus"], "o_orderpriority", 1, 0, {"s": F.sum("o_totalprice")}).select("o_orderkey", F.round("s", 2).alias("s"))
+    return groups_window(load(spark, sf, "orders"), ["o_orderstatus"], "o_orderpriority", 1, 0, {"s": ("sum", "o_totalprice")}).select("o_orderkey", F.round("s", 2).alias("s"))
 
 
 @query("topk_per_group", "select c_nationkey, c_custkey from (select *, row_number() over (partition by c_nationkey order by c_acctbal desc, c_custkey) as rn from customer) t where rn <= 3", "D22")
@@ -62,4 +63,4 @@ def topk_per_group(spark, sf):
 
 
 both("share_of_total", "select o_orderkey, round(o_totalprice / sum(o_totalprice) over (partition by o_custkey), 8) as share from orders", "D21")
-both("window_named_two", "select c_custkey, cast(rank() over w as bigint) as r, count(*) over p as n from customer window p as (partition by c_mktsegment), w as (partition by c_mktsegment order by c_acctbal)", "D19")
+both("window_named_two", "select o_orderkey, cast(rank() over w as bigint) as r, count(*) over p as n from orders window p as (partition by o_custkey), w as (partition by o_custkey order by o_totalprice)", "D19")

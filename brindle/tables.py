@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -10,23 +12,28 @@ NAMES = (
 ).split()
 
 
-_schemas: dict[str, StructType] = {}
+_schemas: dict[str, tuple[int, StructType]] = {}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table; the scan is lazy, so filters and column choice reach Parquet.
 
-    The schema is read from the files once per path: later plans need no job for it.
+    The schema is read from the files once per path, until the file or folder changes: later plans
+    need no job for it.
     """
     path = f"{sf_dir}/{name}.parquet"
-    if path in _schemas:
-        return spark.read.schema(_schemas[path]).parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    changed = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(p).getModificationTime()
+    known = _schemas.get(path)
+    if known and known[0] == changed:
+        return spark.read.schema(known[1]).parquet(path)
     df = spark.read.parquet(path)
-    _schemas[path] = df.schema
+    _schemas[path] = changed, df.schema
     return df
 
 
-def register_views(spark: SparkSession, sf_dir: str, names=NAMES) -> None:
-    """Temp views over the tables, for SQL text."""
-    for n in names:
-        load(spark, sf_dir, n).createOrReplaceTempView(n)
+def view(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """The name of a temp view over one table; it is this package's own, so it replaces no view of the user's."""
+    own = f"brindle_{zlib.crc32(sf_dir.encode()):08x}_{name}"
+    load(spark, sf_dir, name).createOrReplaceTempView(own)
+    return own
