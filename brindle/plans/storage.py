@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,8 +12,26 @@ from brindle.registry import query
 from brindle.tables import load, view
 
 
+_made: list[tuple] = []
+
+
 def _path(spark) -> str:
-    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch/{uuid.uuid4().hex}"
+    """A new folder under the warehouse, deleted when Python ends: results are read lazily, so not before."""
+    path = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch/{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
+def _clear() -> None:
+    for spark, path in _made:
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+        except Exception:  # noqa: BLE001  the JVM may be gone; the files are only scratch
+            return
+
+
+atexit.register(_clear)
 
 
 N = "select n_nationkey, n_name, n_regionkey from nation"
