@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import BROADCAST_ROWS, discard, hot_safe_join, lookup_join, materialise, ship, slices, sweep
+from brindle.llm.common import discard, fits, hot_safe_join, lookup_join, materialise, ship, slices, sweep
 from brindle.llm.components import components
 
 #: Heavy hitters that move to the end of the order; a matter of speed, never of results.
@@ -237,7 +237,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num:
     sweep(docs.sparkSession)
     need = pairs.select(F.col("a").alias("nid")).union(pairs.select(F.col("b").alias("nid"))).distinct()
     need = materialise(need.join(nodes.select("nid", "rep", "key"), "nid").select("nid", "key", F.col("rep").alias("__rep")), "need")
-    few = need.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = fits(need)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     src = src.join(F.broadcast(need) if few else need, F.col("doc_id").eqNullSafe(F.col("__rep")))
 
@@ -265,9 +265,10 @@ def link(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFram
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text).
 
     Two documents link when den * |x and y| >= num * |x or y|; component_id is the smallest
-    doc_id reachable. Null or empty texts have no shingles and link with nothing; repeated rows
-    are alike and share a component; rows without a doc_id may link others; an empty table gives
-    an empty result; other columns are ignored.
+    doc_id reachable. Null or empty texts have no shingles and link with nothing; texts are read
+    whole, however long; pairs just at the threshold link; repeated rows are alike and share a
+    component; rows without a doc_id may link others; an empty table gives an empty result; other
+    columns are ignored.
     """
     docs = docs.select("doc_id", "text")
     f = materialise(features(docs, k, num, den), "features")
@@ -350,7 +351,7 @@ def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     """
     label = link(docs, k, num, den).where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
     label = materialise(label, "gone")
-    few = label.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = fits(label)
     kept = docs.join(F.broadcast(label) if few else label, docs["doc_id"] == label["__gone"], "left_anti")
     again = docs.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1 and doc_id is not null").select(F.col("doc_id").alias("__again"))
     again = materialise(again, "again")

@@ -205,8 +205,11 @@ def segments(patterns: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarra
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of docs with sequence_id and offset.
 
-    Repeated rows are packed once each; a null doc_id stays null; an empty table gives an empty
-    result. Only documents over the capacity are cut; all pieces but the first are full then.
+    Repeated rows are packed once each; a null doc_id stays null; a null text is empty (one piece:
+    the end id); an empty table gives an empty result; other columns are ignored. Whole texts are
+    packed, however long: only documents over the capacity are cut, and all pieces but the first
+    are full then. Ties between pieces of one length go by bucket, doc_id and piece. Windows run
+    over counts by (length, bucket), at most 4096 for each length, whatever the corpus.
     """
     spark = docs.sparkSession
     p = materialise(pieces_of(docs, tokenizer, capacity).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(4096))), "pieces")
