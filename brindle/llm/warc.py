@@ -2,8 +2,8 @@
 
 Writing: records are made as text by Spark SQL and written by Spark's own committer with the
 record end as line separator, so files are plain WARC/1.1 and a lost task leaves nothing behind.
-Reading: files of bounded size are parsed record by record by their Content-Length (payloads may
-hold anything, record ends and version lines too); request, response and metadata records are
+Reading: files, bounded in bytes when they were written, are parsed record by record by their
+Content-Length (payloads may hold anything, record ends and version lines too); request, response and metadata records are
 then joined through WARC-Concurrent-To and each capture becomes one nested row.
 """
 
@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import lookup_join, materialise, scratch_path, ship
 
-#: Captures in one file at most: with usual pages some 20 MB, which a reader takes whole.
+#: A file has at most so many bytes of payload (or one capture), as a reader takes it whole ...
+FILE_BYTES = 64 << 20
+#: ... and so many captures. Pages are written by classes of size: up to FILE_BYTES / PER_FILE bytes, up to four times that, and so on.
 PER_FILE = 4000
+#: Records and payload bytes that a reader hands on at once.
+AT_ONCE, BYTES_AT_ONCE = 1000, 4 << 20
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -41,9 +45,16 @@ def _record(kind: str, rid, more: list, body):
     return F.concat(*head, *more, F.lit("Content-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body)
 
 
+CONTROL = [chr(i) for i in [*range(32), 127]]
+
+
 def _clean(c):
-    """A header value: control characters would end it, so they are escaped."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x1F\x7F]", "%0A")
+    """A header value: control characters would end it, so they are percent-encoded."""
+    text = F.coalesce(c, F.lit(""))
+    coded = text
+    for x in CONTROL:
+        coded = F.replace(coded, F.lit(x), F.lit(f"%{ord(x):02X}"))
+    return F.when(text.rlike(r"[\x00-\x1F\x7F]"), coded).otherwise(text)
 
 
 def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -53,12 +64,16 @@ def mark_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     narrow = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(body.cast("binary")).alias("d2"), F.octet_length(body).alias("n"))
     same = narrow.where(F.col("n") >= least_bytes).groupBy("d2").agg(F.max("page_id").alias("first"), F.count("*").alias("w")).where("w > 1")
     same = same.select(_bare32(F.col("d2")).alias("d2"), "first", "w")
-    out = lookup_join(p, same, [("digest", "d2")], "w", F.col("page_id"), ["first"])
+    out = lookup_join(p, materialise(same, "payloads"), [("digest", "d2")], "w", F.col("page_id"), ["first"])
     return out.withColumn("refers_to", F.when(F.col("first") != F.col("page_id"), F.col("first"))).drop("first")
 
 
-def write(pages: DataFrame, path: str, least_bytes: int = 0, per_file: int = PER_FILE) -> None:
-    """Three records per row of pages (page_id, url, html): request, response or revisit, metadata."""
+def write(pages: DataFrame, path: str, least_bytes: int = 0, per_file: int = PER_FILE, file_bytes: int = FILE_BYTES) -> None:
+    """Three records per row of pages (page_id, url, html): request, response or revisit, metadata.
+
+    A URL with control characters is percent-encoded in the headers and kept as it is, in base64,
+    in the metadata.
+    """
     m = mark_revisits(pages, least_bytes)
     pid = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     # repeated page ids, and rows without one, are captures of their own: they get a serial number
@@ -79,9 +94,17 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0, per_file: int = PER
     with_ = F.concat(F.lit("WARC-Concurrent-To: "), main, F.lit("\r\n"))
     ask = _record("request", req, [uri, with_, F.lit("Content-Type: application/http; msgtype=request\r\n")], get)
     facts = F.concat(F.lit("payload-bytes: "), F.octet_length("body").cast("string"), F.lit("\r\npage-id: "), pid, F.lit("\r\n"))
+    odd = F.col("url").rlike(r"[\x00-\x1F\x7F]")
+    facts = F.concat(facts, F.when(odd, F.concat(F.lit("url-base64: "), F.translate(F.base64(F.col("url").cast("binary")), "\r\n", ""), F.lit("\r\n"))).otherwise(F.lit("")))
     about = _record("metadata", meta, [uri, with_, F.lit("Content-Type: application/warc-fields\r\n")], facts)
     # one string per capture keeps its records in one file; the writer adds the last record's end
-    m.select(F.concat(first, F.lit(END), ask, F.lit(END), about)).write.option("maxRecordsPerFile", per_file).option("lineSep", END).text(path)
+    text = m.select(F.concat(first, F.lit(END), ask, F.lit(END), about), F.octet_length("body").alias("n"))
+    least = max(1, file_bytes // per_file)
+    kind = F.greatest(F.lit(0), F.ceil(F.log(4.0, F.octet_length(F.coalesce("html", F.lit(""))) / F.lit(least)) - 1e-9)).cast("int")
+    kinds = sorted(r[0] or 0 for r in pages.select(kind.alias("k")).distinct().collect()) or [0]  # 16 at most: a string has under 2**31 bytes
+    for k in kinds:
+        own = text.where((F.col("n") <= least * 4**k) & (F.col("n") > (least * 4 ** (k - 1) if k else -1))).drop("n")
+        own.write.mode("append").option("maxRecordsPerFile", max(1, per_file // 4**k)).option("lineSep", END).text(path)
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -107,10 +130,15 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
     """One row per record; payload_* are taken from the bytes of responses. payload=False leaves the bytes out."""
     ship(spark)
 
+    names = [f.split()[0] for f in RECORD.split(", ")]
+
+    def frame(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=names).astype({"payload_bytes": "Int64", "block_bytes": "Int64"})
+
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for data in pdf["content"]:
-                rows = []
+                rows, held = [], 0
                 for h, block in parse(bytes(data)):
                     kind, body, digest, fields = h.get("warc-type"), None, None, None
                     if kind == "response":
@@ -119,9 +147,11 @@ def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFr
                     elif kind == "metadata":
                         fields = {k.strip(): v.strip() for k, s, v in (x.partition(":") for x in block.decode("utf-8", "replace").split("\r\n")) if s}
                     rows.append((kind, h.get("warc-record-id"), h.get("warc-concurrent-to"), h.get("warc-target-uri"), h.get("warc-refers-to"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None, None if body is None else len(body), digest, len(block), body if payload else None, fields))
-                names = [f.split()[0] for f in RECORD.split(", ")]
-                out = pd.DataFrame(rows, columns=names)
-                yield out.astype({"payload_bytes": "Int64", "block_bytes": "Int64"})
+                    held += len(body) if payload and body is not None else 0
+                    if len(rows) >= AT_ONCE or held >= BYTES_AT_ONCE:
+                        yield frame(rows)
+                        rows, held = [], 0
+                yield frame(rows)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(records, RECORD)
 
@@ -146,8 +176,9 @@ def round_trip(pages: DataFrame, payload: bool = False) -> DataFrame:
 
     page_id, payload_bytes, payload_digest, record_type, refers_to, uri. Null html is an empty
     payload; a null page_id reads back as null; repeated rows are captures of their own (of equal
-    payloads with one page_id all are responses, and revisits name that page); an empty table
-    gives an empty result.
+    payloads with one page_id all are responses, and revisits name that page); a null url reads
+    back as empty; payloads are whole, however long (a very long one has a file of its own); an
+    empty table gives an empty result; other columns are ignored.
     """
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
@@ -161,5 +192,5 @@ def round_trip(pages: DataFrame, payload: bool = False) -> DataFrame:
         F.coalesce("capture.payload_digest", "capture.digest").alias("payload_digest"),
         F.col("capture.type").alias("record_type"),
         F.when(F.col("capture.refers_to").isNotNull(), refers.try_cast("long")).alias("refers_to"),
-        F.col("capture.uri").alias("uri"),
+        F.coalesce(F.unbase64(F.element_at(F.map_from_entries("metadata.fields"), "url-base64")).cast("string"), "capture.uri").alias("uri"),
     )
