@@ -1,6 +1,7 @@
 """License scans: MinHash bands over overlapping text windows, then exact shingle containment.
 
-A template of T words is sought in windows of the smallest width W with T <= W / 2 + 1; windows
+A template of T words is sought in windows of the smallest width W, a power of two, with
+T <= W / 2 + 1, so templates may have any length from two words on; windows
 start every W / 2 words, so each passage of that length lies wholly in one of them. A window's
 bands are single minima under BANDS hash functions: with the Jaccard similarity J between window
 and template at least SHARE * (T - 1) / (W - 1), some band agrees with a chance of at least
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import OUTER, let, lookup_join, materialise, one_line
 
-WIDTHS = [8, 16, 32, 64, 128, 256]
 BANDS = 24
+#: With more anchors than this, documents are set aside by the hashes of their shingles instead of by plain text search.
+MOST_SOUGHT = 200
 #: Part of a template's shingles that a window must hold.
 SHARE = 0.8
 
@@ -69,12 +71,11 @@ def collision(words: int, share: float = SHARE, bands: int = BANDS) -> float:
 
 
 def width_of(words: int) -> int:
-    if words < 3:
-        raise ValueError("a template needs three words or more")
-    for w in WIDTHS:
-        if words <= w // 2 + 1:
-            return w
-    raise ValueError(f"a template of {words} words; cut it at {WIDTHS[-1] // 2 + 1}")
+    """The width of the windows in which a template of so many words (two at least) is sought."""
+    w = 4
+    while words > w // 2 + 1:
+        w *= 2
+    return w
 
 
 def _tokens(text):
@@ -95,10 +96,10 @@ def _bands(hashes):
 def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """tid, license, width, t_hashes, t_words, t_bands."""
     rows = [(i, lic, text) for i, (lic, text) in enumerate(templates)]
-    t = spark.createDataFrame(rows, "tid int, license string, text string").withColumn("t_words", _tokens(F.col("text")))
+    t = spark.createDataFrame(rows, "tid int, license string, text string").withColumn("t_words", _tokens(F.col("text"))).where(F.size("t_words") >= 2)
     t = t.withColumn("t_hashes", _shingle_hashes(F.col("t_words"))).withColumn("t_bands", _bands(F.col("t_hashes")))
     n = F.size("t_words")
-    width = F.coalesce(*[F.when(n <= w // 2 + 1, F.lit(w)) for w in WIDTHS])
+    width = F.coalesce(*[F.when(n <= w // 2 + 1, F.lit(w)) for w in (2**k for k in range(2, 31))])
     return t.select("tid", "license", width.alias("width"), "t_hashes", "t_words", "t_bands")
 
 
@@ -118,11 +119,8 @@ def matches(docs: DataFrame, templates=TEMPLATES, share: float = SHARE) -> DataF
     least = {h: ab for r in rows for h, ab in anchors_of(r["t_hashes"], r["t_words"], share).items()}
     anchors = sorted(least)
     if not anchors:
-        raise ValueError("no templates")
+        return spark.createDataFrame([], "doc_id long, th long, license string, tid int, width int, first int")
     widths = sorted({r["width"] for r in rows})
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), _tokens(F.col("text")).alias("w")).where(F.size("w") >= 3)
-    d = d.withColumn("h", _shingle_hashes(F.col("w"))).where(F.exists("h", lambda x: x.isin(anchors)))
-
     def starts(width: int, n_words):
         step = width // 2
         n = F.greatest(F.ceil((n_words - F.lit(width)) / step).cast("int"), F.lit(0))
@@ -135,10 +133,11 @@ def matches(docs: DataFrame, templates=TEMPLATES, share: float = SHARE) -> DataF
 
     def of(w):
         found = let(_shingle_hashes(w), lambda h: F.when(F.exists(h, lambda x: x.isin(anchors)), windows(w, h)))
-        return F.when(F.size(w) >= 3, found)
+        return F.when(F.size(w) >= 2, found)
 
     # the words of a shingle are parts of the text in lower case: most documents go no further
-    near = let(F.lower("text"), lambda t: reduce(lambda x, y: x | y, [t.contains(a) & t.contains(b) for a, b in sorted(set(least.values()))]))
+    sought = sorted(set(least.values()))
+    near = let(F.lower("text"), lambda t: reduce(lambda x, y: x | y, [t.contains(a) & t.contains(b) for a, b in sought])) if len(sought) <= MOST_SOUGHT else F.lit(True)
     found = F.when(near, let(_tokens(F.col("text")), of))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.explode_outer(found).alias("c")).where("c is not null")
     d = d.select("doc_id", "th", "c.*").select("doc_id", "th", "width", "first", "w", F.posexplode(_bands(F.col("h"))).alias("band", "low"))
@@ -154,8 +153,10 @@ def matches(docs: DataFrame, templates=TEMPLATES, share: float = SHARE) -> DataF
 def scan(docs: DataFrame, templates=TEMPLATES, share: float = SHARE) -> DataFrame:
     """doc_id, licenses (sorted ids, maybe empty), n_windows (verified windows) for every row of docs (doc_id, text).
 
-    Null, empty and texts under three words hold none; repeated rows get the same answer; an
-    empty table gives an empty result; other columns are ignored.
+    Null, empty and texts under two words hold none; texts are read whole, however long; a text
+    that holds several templates, or ties, has all their licenses; templates of less than two words
+    are left out, and without any nothing is found; repeated rows get the same answer; an empty
+    table gives an empty result; other columns are ignored.
     """
     m = matches(docs, templates, share).groupBy(F.col("doc_id").alias("d2"), F.col("th").alias("h2"))
     m = m.agg(F.array_sort(F.collect_set("license")).alias("licenses"), F.count_distinct("width", "first").alias("n_windows"), F.lit(1).alias("w"))
