@@ -46,6 +46,8 @@ def url_sql() -> str:
     rule = "case " + " ".join(f"{fit(r)}'{r[1] + r[2]}'" for r in ordered) + " end"
     verdict = "case " + " ".join(f"{fit(r)}'{r[0]}'" for r in ordered) + " end"
 
+    second = ", ".join(f"'{x}'" for x in urlfilter.SECOND)
+
     def shrunk(units: str, prior: str, k: str, n: str, name: str) -> str:
         fit_ = f"select coalesce(avg({prior} * (1 - {prior})), 0) as pq, greatest(coalesce(avg(({k} / {n} - {prior}) * ({k} / {n} - {prior}) - {prior} * (1 - {prior}) / {n}), 0), 1e-6) as v from {units} where {n} > 0"
         s = "least(greatest(pq / v - 1, 1.0), 1e6)"
@@ -56,8 +58,11 @@ def url_sql() -> str:
     with a as (select page_id, case when url like '%://%' then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
     b as (select page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), '{urlfilter.UPPER}', '{urlfilter.LOWER}') as host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from a),
     p as (select *, {rule} as rule, {verdict} as said from b),
-    h0 as (select host, count(rule) as n, coalesce(sum(case when said = 'block' then 1 else 0 end), 0) as k, string_split(host, '.') as cut from p group by host),
-    h as (select host, n, k, cut[-1] as suffix, case when len(cut) >= 2 then cut[-2] || '.' || cut[-1] else host end as domain from h0),
+    pu as (select *, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '\\.$', '') as unit from p),
+    h0 as (select unit as host, count(rule) as n, coalesce(sum(case when said = 'block' then 1 else 0 end), 0) as k, string_split(unit, '.') as cut,
+           case when regexp_matches(unit, '^\\[|^[0-9]+(\\.[0-9]+){{3}}$') then 0 when len(cut) >= 2 and regexp_matches(cut[-1], '^[a-z]{{2}}$') and cut[-2] in ({second}) then 2 else 1 end as labels from pu group by unit),
+    h as (select host, n, k, case labels when 0 then '[address]' else array_to_string(cut[-least(labels, len(cut)):], '.') end as suffix,
+          case labels when 0 then host else array_to_string(cut[-least(labels + 1, len(cut)):], '.') end as domain from h0),
     s as (select suffix, sum(n) as n, sum(k) as k, (select (coalesce(sum(k), 0) + 0.5) / (coalesce(sum(n), 0) + 1) from h) as root from h group by suffix),
     s1 as ({shrunk('s', 'root', 'k', 'n', 'suffix')}),
     d as (select domain, h.suffix, sum(h.n) as n, sum(h.k) as k, any_value(suffix_mean) as suffix_mean from h join s1 on s1.suffix = h.suffix group by domain, h.suffix),
@@ -65,4 +70,4 @@ def url_sql() -> str:
     g as (select h.host, h.n, h.k, domain_mean from h join d1 on d1.domain = h.domain),
     g1 as ({shrunk('g', 'domain_mean', 'k', 'n', 'host')})
     select page_id, p.host, path, rule, coalesce(said, case when host_mean - {urlfilter.Z} * host_sd > {urlfilter.LIMIT} then 'block' else 'allow' end) as verdict,
-           round(host_mean, 9) as block_mean, round(host_mean - {urlfilter.Z} * host_sd, 9) as block_bound from p join g1 on g1.host = p.host"""
+           round(host_mean, 9) as block_mean, round(host_mean - {urlfilter.Z} * host_sd, 9) as block_bound from pu p join g1 on g1.host = p.unit"""
