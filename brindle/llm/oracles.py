@@ -10,8 +10,10 @@ _WORD = r"[^\x20\x09-\x0D]+"
 def quality_sql() -> str:
     """Quality rules and host verdicts, word by word."""
     rules = list(quality.HOST_LIMITS)
-    moments = ", ".join(f"sum({k}) / sum(n_docs) as m_{k}, var_pop({k} / n_docs) as v_{k}" for k in rules)
-    strength = ", ".join(f"case when v_{k} > 0 then least(greatest(m_{k} * (1 - m_{k}) / v_{k} - 1, 1.0), 1e6) else 1e6 end as s_{k}" for k in rules)
+    moments = ", ".join(f"sum({k}) / sum(n_docs) as m_{k}, sum({k} * {k} / n_docs) - sum({k}) * sum({k}) / sum(n_docs) as v_{k}" for k in rules)
+    moments = "count(*) - 1 as df, sum(n_docs) - sum(n_docs * n_docs) / sum(n_docs) as eff, " + moments
+    rho = lambda k: f"case when m_{k} * (1 - m_{k}) * (eff - df) > 0 then (v_{k} - m_{k} * (1 - m_{k}) * df) / (m_{k} * (1 - m_{k}) * (eff - df)) else 0 end"
+    strength = ", ".join(f"case when {rho(k)} > 0 then least(greatest(1 / ({rho(k)}) - 1, 1.0), 1e6) else 1e6 end as s_{k}" for k in rules)
 
     def over(k: str) -> str:
         a, n = f"({k} + m_{k} * s_{k})", f"(n_docs + s_{k})"
