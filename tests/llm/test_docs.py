@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import decontaminate, langid, licenses, line_dedup, ngram_join, packing, quality
+from brindle.llm import common, decontaminate, langid, licenses, line_dedup, ngram_join, packing, quality
 from brindle.llm.components import components
 from brindle.llm.queries import tokenizer_path, vocabulary_path
 
@@ -104,11 +104,42 @@ def test_join_is_brute_force(spark, k, num):
     common = " ".join(base[:25])
     texts += [common + " " + " ".join(rng.choice(vocab) for _ in range(rng.randint(5, 90))) for _ in range(60)]
     texts += ["", None, "a b", "A B", "a", "a"] + texts[:5]
+    giant = "g" * (2 << 20)  # one word, longer than what is split at once
+    one = "a"
+    for _ in range(10):  # two words of 1024 letters on which polynomials modulo a power of two agree
+        one += one.translate(str.maketrans("ab", "ba"))
+    texts += [giant, " " + giant, one, one.translate(str.maketrans("ab", "ba")), "\u00c4 x", "\u00e4 x", "x\u00a0y z", "x y z"]
     rows = list(enumerate(texts))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.link(docs_of(spark, texts), k, num, 100).collect()}
     assert got == brute_components(rows, k, num, 100)
 
 
+def test_words_do_not_depend_on_where_a_part_ends(monkeypatch):
+    rng = random.Random(12)
+    data = "".join(rng.choice(["ab", "Q", " ", "\n", "\u00e9", "\t\t", "long" * 9]) for _ in range(400)).encode()
+    want = ngram_join.word_hashes(data)
+    assert len(want) == len(data.split())
+    for part in (1, 2, 7, 64):
+        monkeypatch.setattr(ngram_join, "_PART", part)
+        assert ngram_join.word_hashes(data).tolist() == want.tolist()
+
+
+def test_hot_safe_join_is_a_join(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    monkeypatch.setattr(common, "HOT_KEYS", 20)
+    rng = random.Random(3)
+    rows = [(i, rng.choice([1, 1, 1, 1, None, None, *range(2, 40)]), rng.choice(["x", "x", None, "y"])) for i in range(2000)]
+    left = spark.createDataFrame(rows, "id long, k int, s string")
+    right = left.where("k is null or k % 3 <> 0").groupBy("k", "s").agg(F.count("*").alias("w"), F.max("id").alias("top")).withColumnsRenamed({"k": "rk", "s": "rs"})
+    assert common._hot(right, F.xxhash64("rk", "rs"), "w")
+    top = {(r["rk"], r["rs"]): r["top"] for r in right.collect()}
+    on = [("k", "rk"), ("s", "rs")]
+    got = common.hot_safe_join(left, right, on, "w", F.col("id"), ["top"]).collect()
+    assert sorted((r["id"], r["top"] or -1) for r in got) == sorted((i, top.get((k, s), -1)) for i, k, s in rows)
+    got = common.hot_safe_join(left, right, on, "w", F.col("id"), ["top"], how="inner").collect()
+    assert sorted(r["id"] for r in got) == sorted(i for i, k, s in rows if (k, s) in top)
+
+
 def test_prefix_scheme_loses_nothing():
     rng = random.Random(5)
     hot = np.sort(np.asarray([rng.getrandbits(64) for _ in range(40)], np.uint64))
@@ -211,6 +242,44 @@ def test_forward_sums_all_segmentations():
     assert np.isclose(np.exp(m.forward(["abc"])[0, 0]), want)
 
 
+def every_split(word, prob, lone):
+    """Sum over all ways to cut a word into pieces, one by one."""
+    if not word:
+        return 1.0
+    return sum(prob.get(word[:k], lone if k == 1 else 0.0) * every_split(word[k:], prob, lone) for k in range(1, len(word) + 1))
+
+
+def test_forward_is_brute_force_at_any_length(monkeypatch):
+    rng = random.Random(6)
+    pieces = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(1, 6))) for _ in range(20)} | {langid.START + "a", langid.START})
+    table = np.asarray([[0, 0]] + [[rng.random() / 3, rng.random() / 3] for _ in range(len(pieces) + 1)])
+    m = langid.Model(["x", "y"], {p: i + 2 for i, p in enumerate(pieces)}, table)
+    words = ["".join(rng.choice("abc") for _ in range(n)) for n in (1, 2, 5, 9, 11)]
+    want = [[np.log(every_split(langid.START + w, {p: table[i + 2][j] for i, p in enumerate(pieces)}, table[1][j])) for j in (0, 1)] for w in words]
+    assert np.allclose(m.forward(words), want)
+    assert np.allclose([m.forward_long(w) for w in words], want)
+    monkeypatch.setattr(langid, "LONG", 4)  # the same score whichever way a word goes
+    assert np.allclose(m.forward(words), want) and np.allclose(m.word_rows(words), want)
+
+
+def test_numbers_are_no_letters():
+    m = langid.Model(["a"], {"x": 2}, np.asarray([[0], [0.1], [0.5]]))
+    assert m.score(["\u00bd \u00b2 \u2460 12", "x", "\u0928\u092e\u0938\u094d\u0924\u0947"]) == [("und", 0.0), ("a", 1.0), ("a", 1.0)]
+    assert langid.words_of("\u0928\u092e\u0938\u094d\u0924\u0947 a1b") == ["\u0928\u092e\u0938\u094d\u0924\u0947", "a", "b"]
+
+
+def test_the_whole_vocabulary_is_used():
+    v = langid.vocabulary(vocabulary_path())
+    assert langid.longest(v) > 12 and len(v) > 22_000
+
+
+def test_copies_teach_once_and_many_labels_are_no_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 3)
+    rows = [("eins zwei drei vier", "de")] * 500 + [(f"one two three {w}", "en") for w in "abcdefgh"] + [(f"uno dos tres {w}", "es") for w in "abc"] + [("un deux", "fr")] + [(f"x{i}", f"l{i:02}") for i in range(40)]
+    m = langid.train(spark.createDataFrame(rows, "text string, lang string"), vocabulary_path(), sample=4)
+    assert len(m.langs) == 3 and "en" in m.langs and "es" in m.langs
+
+
 def test_language_accuracy_on_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs, vocabulary_path()).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
@@ -310,6 +379,25 @@ def test_line_dedup_removes_every_long_passage(spark, monkeypatch):
     assert got == want and want[len(shared) + 40] == ""
 
 
+def test_nothing_of_a_long_copy_survives(spark):
+    rng = random.Random(10)
+    text = "\n".join(" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(3, 20))) for _ in range(3000))
+    got = {r["doc_id"]: r for r in line_dedup.remove(docs_of(spark, [text, text, "intro\n" + text, text + "\ntail"])).collect()}
+    assert [got[i]["text"] for i in range(4)] == [text, "", "intro", "tail"]
+    assert [got[i]["n_removed"] for i in range(4)] == [0, 3000, 3000, 3000]
+
+
+def test_no_name_clashes(spark):
+    names = ["__d", "__h", "__cut", "__n_lines", "__n_removed", "__row", "__text", "__host", "__m", "__kept", "__v", "__k0", "__s", "__t", "__gone", "th", "h2", "w"]
+    text = "\n".join(" ".join(f"w{i}x{j}" for j in range(9)) for i in range(12))
+    docs = docs_of(spark, [text, text, None]).withColumns({"source": F.lit("a"), **{n: F.lit(n) for n in names}})
+    bench = spark.createDataFrame([(1, "nothing of this kind is here at all in it")], "item_id long, text string")
+    for out in (line_dedup.dedup(docs), quality.keep_good(docs), decontaminate.clean(docs, bench), ngram_join.one_of_each(docs)):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == n for r in rows for n in names)
+
+
 def test_line_dedup_edges(spark, odd_docs):
     out = line_dedup.dedup(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == 11
@@ -326,7 +414,8 @@ ITEM = "A train leaves the old station at 10 km and then Anna walks along the ri
     [
         ("before it " + ITEM.replace("A train", "a train") + " and after it", True),
         (ITEM.replace("Anna", "Bert").replace("10", "77"), True),
-        (ITEM.replace("walks along the river with Anna", "walks along the river with Carl"), False),
+        # changed in one place: the windows that hold one slot value do not contradict each other
+        (ITEM.replace("walks along the river with Anna", "walks along the river with Carl"), True),
         ("Some other words that have nothing to do with it at all, and never did, as far as one can see", False),
         (ITEM.upper().lower(), True),
         (None, False),
@@ -337,8 +426,7 @@ ITEM = "A train leaves the old station at 10 km and then Anna walks along the ri
 def test_templates(spark, text, hit):
     bench = spark.createDataFrame([(7, ITEM), (8, None)], "item_id long, text string")
     r = decontaminate.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"), bench).collect()[0]
-    # changed in part only: the windows that hold one slot value do not contradict each other
-    assert r["contaminated"] == hit or (text and "Carl" in text)
+    assert r["contaminated"] == hit
     assert (7 in r["item_ids"]) == r["contaminated"]
 
 
@@ -384,6 +472,59 @@ def test_items_dense_in_slots_are_found_when_copied(spark):
     assert found_in(spark, item, texts) == [True, False]
 
 
+def test_a_name_that_begins_an_item_is_a_name(spark):
+    item = "Anna has some apples and gives them away today"
+    assert found_in(spark, item, ["We know that Bert has some apples and gives them away today", "We know that bert has some apples or gives them away today"]) == [True, False]
+
+
+def brute_hits(item, text):
+    """Whether a window of eight words (or all of a shorter item) of the item is in the text, case and outer punctuation aside."""
+    words = lambda t: [w for w in (x.strip(".,!?:;\"'()-") for x in t.lower().split())]
+    a, b = words(item), words(text)
+    m = min(8, len(a))
+    return any(a[i : i + m] == b[j : j + m] for i in range(len(a) - m + 1) for j in range(len(b) - m + 1))
+
+
+def test_decontamination_is_brute_force_on_plain_words(spark):
+    rng = random.Random(11)
+    vocab = [f"{a}{b}" for a in "bcdfgklmnprst" for b in ("ado", "ine", "oru", "eth")]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    items = [say(n) for n in (2, 3, 5, 7, 8, 9, 14, 30, 60)]
+    texts = [say(rng.randint(1, 40)) for _ in range(20)]
+    for it in items:
+        w = it.split()
+        for _ in range(6):
+            k, at = rng.randint(1, len(w)), 0
+            at = rng.randint(0, len(w) - k)
+            part = " ".join(w[at : at + k])
+            texts.append(f"{say(rng.randint(0, 9))} {rng.choice([part, part.upper(), part.title(), part.replace(' ', ', ')])}! {say(rng.randint(0, 9))}")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.scan(docs_of(spark, texts), bench).collect()}
+    assert got == {i: [k for k, it in enumerate(items) if brute_hits(it, t)] for i, t in enumerate(texts)}
+
+
+def test_edited_plants_are_found(spark):
+    """Numbers and names changed throughout: at least nine of ten are found."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice(["ba", "de", "ki", "lo", "mu"]) for _ in range(3))
+    name = lambda: word().capitalize()
+    items, texts = [], []
+    for _ in range(40):
+        w = [word() for _ in range(30)]
+        places = rng.sample(range(2, 30), 4)
+        old, new = [name() for _ in places], [name() for _ in places]
+        other = list(w)
+        for p, a, b in zip(places, old, new, strict=True):
+            w[p], other[p] = a, b
+        k = rng.randint(2, 29)
+        items.append(" ".join([*w[:k], str(rng.randint(2, 99)), *w[k:]]))
+        texts.append(" ".join(["It", "says", *other[:k], str(rng.randint(100, 999)), *other[k:], "now"]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = decontaminate.scan(docs_of(spark, texts), bench).collect()
+    assert sum(r["doc_id"] in r["item_ids"] for r in got) >= 36
+    assert decontaminate.scan(docs_of(spark, [" ".join(word() for _ in range(40)) for _ in range(40)]), bench).where("contaminated").count() == 0
+
+
 def test_decontamination_edges(spark, odd_docs):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     assert decontaminate.clean(odd_docs, bench).columns == odd_docs.columns
@@ -399,7 +540,7 @@ def test_decontamination_edges(spark, odd_docs):
 
 
 def test_license_bands_meet_the_promise():
-    assert min(licenses.collision(n) for n in range(3, 130)) > 0.99
+    assert min(licenses.collision(n) for n in range(2, 5000)) > 0.97 and min(licenses.collision(n) for n in range(3, 5000)) > 0.99
 
 
 def test_license_scan(spark, odd_docs):
@@ -412,6 +553,40 @@ def test_license_scan(spark, odd_docs):
     assert licenses.scan(odd_docs).count() == 11 and licenses.scan(odd_docs.limit(0)).count() == 0
 
 
+def test_license_scan_is_brute_force(spark):
+    """Templates with words changed here and there: all whose pairs are held to SHARE in some window are found, and nothing else."""
+    rng = random.Random(14)
+    vocab = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
+    say = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    templates = [(f"T{n}", say(n)) for n in (2, 3, 6, 20, 90, 400)]
+    texts = []
+    for _, t in templates:
+        for share in (0, 0.03, 0.06, 0.1, 0.2, 0.5):
+            w = [rng.choice(vocab) if rng.random() < share else x for x in t.split()]
+            texts.append(f"{say(rng.randint(0, 60))} {' '.join(w)} {say(rng.randint(0, 60))}".strip())
+    pairs = lambda w: {" ".join(w[i : i + 2]) for i in range(len(w) - 1)}
+    want = []
+    for t in texts:
+        w, found = t.split(), []
+        for lic, body in templates:
+            need, width = pairs(body.split()), licenses.width_of(len(body.split()))
+            starts = range(0, max(1, -(-(len(w) - width) // (width // 2)) * (width // 2) + 1), width // 2)
+            if any(len(pairs(w[s : s + width]) & need) >= licenses.SHARE * len(need) for s in starts):
+                found.append(lic)
+        want.append(sorted(found))
+    got = [r["licenses"] for r in licenses.scan(docs_of(spark, texts), templates).orderBy("doc_id").collect()]
+    assert got == want and sum(map(len, want)) >= 20
+    assert [r["licenses"] for r in licenses.scan(docs_of(spark, texts[:2]), []).collect()] == [[], []]
+    assert [r["licenses"] for r in licenses.scan(docs_of(spark, ["one word", "x"]), [("S", "word")]).collect()] == [[], []]
+
+
+def test_many_templates_need_no_text_search(spark, monkeypatch):
+    monkeypatch.setattr(licenses, "MOST_SOUGHT", 0)
+    texts = [f"some words before {t} and after" for _, t in licenses.TEMPLATES]
+    got = [r["licenses"] for r in licenses.scan(docs_of(spark, texts)).orderBy("doc_id").collect()]
+    assert all(name in found for (name, _), found in zip(licenses.TEMPLATES, got, strict=True))
+
+
 def test_fine_sketch_never_exceeds_the_difference():
     rng = np.random.default_rng(5)
     for n, m in ((3, 3), (40, 44), (900, 1000), (9000, 8200)):
