@@ -7,7 +7,8 @@ as plain words without case and outer punctuation, so a copy in capitals is foun
 plain words always counts; one of templates counts when the window's slots are consistent: one
 value of a slot type in the item always stands for one value in the document. So a question whose
 numbers or names were changed throughout is still caught, and one changed in part by its windows
-that do not contradict themselves.
+that do not contradict themselves. A capital letter that begins a sentence tells nothing, so the
+benchmark's words there are taken as words and, once more, as names.
 """
 
 from __future__ import annotations
@@ -15,16 +16,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import BROADCAST_ROWS, OUTER, let, lookup_join, materialise, one_line
+from brindle.llm.common import OUTER, fits, let, lookup_join, materialise, one_line
 
 WIDTH = 8  # windows() hashes 2, 4 and 8 tokens
 #: Words that are not slots, at least, in a window; fewer say too little.
 LITERALS = 5
 #: Units of measure that become a slot after a number.
 UNITS = ["mm", "cm", "m", "km", "kg", "g", "mg", "lb", "oz", "l", "ml", "s", "min", "h", "hours", "days", "years", "miles", "km/h", "mph", "percent", "dollars", "euros", "usd", "eur"]
-#: With more distinct benchmark windows than this the join is by shuffle.
-MOST_WINDOWS = 500_000
-
 # Slots as single characters that no word can hold after cleaning.
 NUM, NAME, UNIT = "\x01", "\x02", "\x03"
 
@@ -34,10 +32,10 @@ def plain(text):
     return one_line(F.translate(text, NUM + NAME + UNIT, "   "))
 
 
-def canonical(flat):
-    """A plain() text with its words replaced by template tokens; word for word."""
+def canonical(flat, starts: bool = False):
+    """A plain() text with its words replaced by template tokens; word for word. starts: capitals that begin a sentence are names too."""
     # a name: a capital letter after a word that does not end a sentence
-    named = F.regexp_replace(flat, r"\p{Lu}(?<=[^\s.!?:…] [\p{P}\p{S}]{0,2}\p{Lu})\S*", NAME)
+    named = F.regexp_replace(flat, r"\p{Lu}(?<=(?:^|\s)[\p{P}\p{S}]{0,2}\p{Lu})\S*" if starts else r"\p{Lu}(?<=[^\s.!?:…] [\p{P}\p{S}]{0,2}\p{Lu})\S*", NAME)
     numbers = F.regexp_replace(named, r"\p{Nd}(?<=(?:^| )[\p{P}\p{S}]{0,2}\p{Nd})[\p{Nd}.,:/%-]*(?!\S)", NUM)
     units = let(numbers, lambda n: F.when(n.contains(NUM), F.regexp_replace(n, rf"(?i)(?<={NUM} )(?:{'|'.join(UNITS)})[.,;:!?]*(?!\S)", UNIT)).otherwise(n))
     return F.lower(F.regexp_replace(units, OUTER, ""))
@@ -48,11 +46,12 @@ def literal(flat):
     return F.lower(F.regexp_replace(flat, OUTER, ""))
 
 
-def windows(df: DataFrame, widths: list[int]) -> DataFrame:
+def windows(df: DataFrame, widths: list[int], starts: bool = False) -> DataFrame:
     """The other columns, m (tokens), pos (from 0), w (hash), __t (tokens) and __plain (words without case and outer punctuation) for each window of df.text.
 
     Windows have WIDTH tokens or as many as one of the smaller widths says. Each comes twice: by
-    its template tokens and by its plain words, which are then __t as well. Null texts have none.
+    its template tokens and by its plain words, which are then __t as well; with `starts` a third
+    time, with capitals at the start of sentences as names. Null texts have none.
     """
     keep = [c for c in df.columns if c != "text"]
 
@@ -68,10 +67,11 @@ def windows(df: DataFrame, widths: list[int]) -> DataFrame:
         return F.when(n >= 0, out)
 
     def both(s):
-        return F.array(*[F.struct(t.alias("t"), s["p"].alias("p"), F.lit(m).alias("m"), hashes(t, m).alias("w")) for t in (s["t"], s["p"]) for m in [WIDTH, *widths]])
+        return F.array(*[F.struct(t.alias("t"), s["p"].alias("p"), F.lit(m).alias("m"), hashes(t, m).alias("w")) for t in [s[k] for k in kinds] for m in [WIDTH, *widths]])
 
     # a generator's output is computed once, whatever reads it
-    forms = let(plain(F.col("text")), lambda flat: let(F.struct(F.split(canonical(flat), " ").alias("t"), F.split(literal(flat), " ").alias("p")), both))
+    kinds = ["t", "p", "n"] if starts else ["t", "p"]
+    forms = let(plain(F.col("text")), lambda flat: let(F.struct(*[F.split({"t": canonical(flat), "p": literal(flat), "n": canonical(flat, True)}[k], " ").alias(k) for k in kinds]), both))
     d = df.select(*keep, F.inline_outer(F.when(F.length(F.trim("text")) > 0, forms)).alias("__t", "__plain", "m", "__w"))
     return d.select(*keep, "m", "__t", "__plain", F.posexplode_outer("__w").alias("pos", "w")).where("w is not null")
 
@@ -88,13 +88,13 @@ def _literals(tokens, pos, m):
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, th (hash of the text), item_id, pos for every consistent window hit. benchmark: item_id, text."""
-    b = windows(benchmark.select("item_id", "text"), list(range(1, WIDTH))).where(F.col("m") == F.least(F.lit(WIDTH), F.size("__t")))
+    b = windows(benchmark.select("item_id", "text"), list(range(1, WIDTH)), True).where(F.col("m") == F.least(F.lit(WIDTH), F.size("__t")))
     b = b.where(F.array_max(F.slice("__t", F.col("pos") + 1, F.col("m"))) != "")  # punctuation only says nothing
     b = b.where(_literals("__t", F.col("pos"), F.col("m")) >= F.least(F.lit(LITERALS), F.col("m")))
-    b = materialise(b.select("item_id", "m", F.col("pos").alias("ipos"), F.col("w").alias("w2"), _slots("__t", "__plain", F.col("pos"), F.col("m")).alias("__bs")), "windows")
+    b = materialise(b.select("item_id", "m", F.col("pos").alias("ipos"), F.col("w").alias("w2"), _slots("__t", "__plain", F.col("pos"), F.col("m")).alias("__bs")).distinct(), "windows")
     widths = sorted(r["m"] for r in b.where(F.col("m") < WIDTH).select("m").distinct().collect())  # of items shorter than WIDTH
     b = b.withColumnRenamed("m", "m2")
-    few = b.limit(MOST_WINDOWS + 1).count() <= MOST_WINDOWS
+    few = fits(b)
     d = windows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text"), widths)
     found = d.join(F.broadcast(b) if few else b, (F.col("w") == F.col("w2")) & (F.col("m") == F.col("m2")))
     pairs = F.arrays_zip(F.col("__bs").alias("b"), _slots("__t", "__plain", F.col("pos"), F.col("m")).alias("d"))
@@ -113,8 +113,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_hits, item_ids (sorted, maybe empty), contaminated for every row of docs.
 
-    Null and empty texts hit nothing; repeated rows get the same answer; an empty benchmark marks
-    nothing; benchmark items with null text are left out; other columns are ignored.
+    Null and empty texts hit nothing; texts are read whole, however long; repeated rows get the
+    same answer, and items that tie all are listed; an empty benchmark marks nothing; benchmark
+    items with null text are left out; an empty table gives an empty result; other columns are
+    ignored.
     """
     c = materialise(contaminated(docs, benchmark).select(F.col("doc_id").alias("d2"), F.col("th").alias("h2"), "n_hits", "item_ids", F.lit(1).alias("w")), "hits")
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"))
@@ -124,8 +126,8 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without a hit, columns unchanged."""
+    """The rows of docs without a hit, columns unchanged, whatever their names; edge cases as in scan()."""
     c = materialise(contaminated(docs, benchmark).select(F.col("doc_id").alias("__d"), F.col("th").alias("__h")), "hits")
-    few = c.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(docs["text"]) == F.col("__h"))
-    return docs.join(F.broadcast(c) if few else c, same, "left_anti")
+    d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    same = F.col("__row.doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("__row.text") == F.col("__h"))
+    return d.join(F.broadcast(c) if fits(c) else c, same, "left_anti").select(*[F.col("__row")[c].alias(c) for c in docs.columns])
