@@ -12,7 +12,7 @@ their SHA-256; all but the first (smallest doc_id, then position) are removed.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.llm.common import fits, hot_safe_join, let, materialise
@@ -85,8 +85,19 @@ def _passages(full, onward: bool):
     return F.filter(F.transform(full, span), lambda p: p.isNotNull())
 
 
+def _merged(gone: DataFrame) -> DataFrame:
+    """doc_id, th, cut: the ranges (first, last) of each document, sorted; those that overlap or adjoin are one."""
+    longest = gone.groupBy("doc_id", "th", "first").agg(F.max("last").alias("last"))  # so repeated rows are one before a document's ranges meet in a task
+    own = Window.partitionBy("doc_id", "th").orderBy("first")
+    reach = F.max("last").over(own.rowsBetween(Window.unboundedPreceding, -1))
+    apart = longest.withColumn("apart", F.when(F.col("first") > reach + 1, 1).otherwise(0))
+    k = F.sum("apart").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    merged = apart.withColumn("k", k).groupBy("doc_id", "th", "k").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return merged.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("cut"))
+
+
 def repeated(docs: DataFrame) -> DataFrame:
-    """doc_id, th (hash of the text), cut: the [first, last] line ranges to remove from each document that has any."""
+    """doc_id, th (hash of the text), cut: the [first, last] line ranges to remove from each document that has any, no two with a common line."""
 
     def own(key):
         return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), F.explode(runs_of(F.col("text"), key)).alias("c"))
@@ -103,7 +114,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     # equal rows of documents are one document here: all its rows keep what the first keeps
     gone = hot_safe_join(some.withColumn("place", place), keep, [("s", "s2")], "w", F.xxhash64("doc_id", "first"), ["keep"], how="inner")
     gone = gone.where(~F.col("keep").eqNullSafe(F.col("place")))
-    return gone.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("cut"))
+    return _merged(gone)
 
 
 def _cleaned(docs: DataFrame) -> DataFrame:
@@ -114,7 +125,7 @@ def _cleaned(docs: DataFrame) -> DataFrame:
     same = F.col("__row.doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(text) == F.col("__h"))
     d = d.join(F.broadcast(cut) if fits(cut) else cut, same, "left")
     lines = F.split(text, "\n")
-    # the ranges overlap; array_except hashes, so the cost is in proportion to their lengths
+    # no line is in two ranges, so this holds no more numbers than the text has lines
     gone = F.flatten(F.transform("__cut", lambda c: F.sequence(c["first"], c["last"])))
     left = F.array_except(F.sequence(F.lit(1), F.size(lines)), gone)
     kept = let(lines, lambda a: F.transform(left, lambda i: F.get(a, i - 1)))

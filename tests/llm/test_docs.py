@@ -387,6 +387,16 @@ def test_nothing_of_a_long_copy_survives(spark):
     assert [got[i]["n_removed"] for i in range(4)] == [0, 3000, 3000, 3000]
 
 
+def test_ranges_of_removed_lines_are_apart(spark):
+    """However many runs repeat, a document's ranges hold each line once, so their expansion is bounded by its lines."""
+    rng = random.Random(11)
+    a, b = ([" ".join(f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(3, 20))) for _ in range(400)] for _ in range(2))
+    texts = ["\n".join(a + b), "\n".join(a + b), "\n".join(["intro", *a, "between", "them", *b, "tail"])]
+    docs = docs_of(spark, texts)
+    got = {r["doc_id"]: [tuple(c) for c in r["cut"]] for r in line_dedup.repeated(docs.union(docs)).collect()}
+    assert got == {1: [(1, 800)], 2: [(2, 401), (404, 803)]}
+
+
 def test_no_name_clashes(spark):
     names = ["__d", "__h", "__cut", "__n_lines", "__n_removed", "__row", "__text", "__host", "__m", "__kept", "__v", "__k0", "__s", "__t", "__gone", "th", "h2", "w"]
     text = "\n".join(" ".join(f"w{i}x{j}" for j in range(9)) for i in range(12))
